@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, neighbours, secrets, shards, suffix_dedup
+from . import decontaminate, jaccard, language, neighbours, pieces, secrets, shards, suffix_dedup
+
+
+#: A public SentencePiece model; set another with the argument of the same name.
+MODEL_PATH = "file:///opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.PieceModel.load(spark, model_path))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -52,6 +60,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op8_ngram_jaccard": op8_ngram_jaccard,
