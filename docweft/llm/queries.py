@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, neighbours, pieces, secrets, shards, suffix_dedup
+from . import decontaminate, jaccard, language, licences, line_dedup, neighbours, pieces, secrets, shards, suffix_dedup
 
 
 #: A public SentencePiece model; set another with the argument of the same name.
@@ -41,6 +41,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.detect(docs, model, ["doc_id", "held_out"])
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -63,6 +72,8 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
+    "op6_licence_scan": op6_licence_scan,
+    "op7_line_dedup": op7_line_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
@@ -80,6 +91,15 @@ h AS (SELECT doc_id, count(DISTINCT p.p) AS n_hit FROM (SELECT DISTINCT doc_id,
 it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+    "op7_line_dedup": r"""
+WITH l AS (SELECT doc_id, pos - 1 AS pos, x[pos] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) AS u(pos)),
+f AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS o FROM l WHERE trim(line) <> '' GROUP BY line),
+k AS (SELECT line, n, o, unnest(list_distinct([concat('l', n // 2, ':', left(line, n // 2)), concat('l', (n + 1) // 2, ':', left(line, (n + 1) // 2)), concat('r', n // 2, ':', right(line, n // 2)), concat('r', (n - 1) // 2, ':', right(line, (n - 1) // 2))])) AS h FROM f WHERE n >= 20),
+c AS (SELECT DISTINCT a.line AS x, b.line AS y, a.n AS nx, b.n AS ny FROM k a JOIN k b ON a.h = b.h AND b.o < a.o AND abs(a.n - b.n) <= 1),
+g AS (SELECT DISTINCT x AS line FROM c WHERE len(list_filter(range(1, greatest(nx, ny) + 1), lambda i: left(x, i - 1) = left(y, i - 1) AND substr(x, i + CASE WHEN nx >= ny THEN 1 ELSE 0 END) = substr(y, i + CASE WHEN ny >= nx THEN 1 ELSE 0 END))) > 0),
+r AS (SELECT doc_id, list_sort(list(pos)) AS removed FROM l JOIN f USING (line) LEFT JOIN (SELECT line, true AS near FROM g) USING (line) WHERE near OR o <> {'d': doc_id, 'p': pos} GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(len(removed), 0) AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed FROM documents d LEFT JOIN r USING (doc_id)
 """,
     "op8_ngram_jaccard": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
