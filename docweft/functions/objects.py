@@ -45,6 +45,8 @@ def _walk(ctx, c: Column, path: str) -> Column | None:
     """The value at a dotted path with array indexes, or None if the type has no such place."""
     for step in path.replace("[", ".").replace("]", "").split("."):
         t = ctx.type(c)
+        if not step:
+            continue
         if isinstance(t, T.StructType) and step in t.names:
             c = c[step]
         elif isinstance(t, T.MapType):

@@ -385,7 +385,7 @@ def unescape_html(ctx, s):
 
     def decode(e):
         code = F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "([0-9a-fA-F]+);$", 1), 16, 10).try_cast("long")).otherwise(F.regexp_extract(e, r"(\d+);$", 1).try_cast("long"))
-        utf8 = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        utf8 = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
         return F.coalesce(F.try_element_at(named, e), F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), utf8), e)
 
     return F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(decode(F.get(found, i)), F.lit("")))), "")
