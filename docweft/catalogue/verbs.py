@@ -71,7 +71,7 @@ ROWS: dict[str, tuple[str, list[str], list[tuple[str, str, str]]]] = {
         ("startsWith", '%startsWith @p_type "PROMO"', "starts_with(p_type, 'PROMO')"),
         ("endsWith", '%endsWith @p_type "STEEL"', "ends_with(p_type, 'STEEL')"),
         ("padLeft", '%padLeft @p_size ##5 "0"', "lpad(CAST(p_size AS VARCHAR), 5, '0')"),
-        ("padRight", '%padRight @p_brand ##12 "."', "rpad(p_brand, greatest(12, length(p_brand)), '.')"),
+        ("padRight", '%padRight @p_brand ##12 "."', "rpad(p_brand, CAST(greatest(12, length(p_brand)) AS INTEGER), '.')"),
         ("pad", '%pad @p_size ##4 "x"', "rpad(CAST(p_size AS VARCHAR), 4, 'x')"),
         ("center", '%center @p_size ##5 "*"', "repeat('*', (5 - length(CAST(p_size AS VARCHAR))) // 2) || p_size || repeat('*', 5 - length(CAST(p_size AS VARCHAR)) - (5 - length(CAST(p_size AS VARCHAR))) // 2)"),
         ("truncate_", '%truncate @p_name ##4', "left(p_name, 4)"),

@@ -40,6 +40,7 @@ class Scope:
 
     def __init__(self, compiler: Compiler, ctx: Context, item: Callable[[str], Column | None] | None, aliases: dict[str, Column], index: Column | None = None):
         self.compiler, self.ctx, self.item, self.aliases, self.index = compiler, ctx, item, aliases, index
+        self.depth = 0
 
     def walk(self, column: Column, path: str) -> Column:
         for step in path.replace("[", ".").replace("]", "").split("."):
@@ -91,6 +92,7 @@ class Compiler:
         self.outputs: dict[str, Column] = {}
         self.errors: list[Column] = []
         self.loop_values: Callable | None = None
+        self.loops: dict[tuple, LoopContext] = {}
 
     def context(self) -> Context:
         return Context(self.frame, self.spec.tables)
@@ -160,14 +162,19 @@ class Compiler:
         t = scope.ctx.type(source)
         if not isinstance(t, T.ArrayType):
             if isinstance(t, (T.StringType, T.NullType)):
-                return F.array().cast("array<struct<>>") if False else F.expr("CAST(NULL AS ARRAY<STRING>)")
+                return F.expr("CAST(NULL AS ARRAY<STRING>)")
             raise TransformError("T009", f"{path} is not an array")
-        proxy = scope.ctx.frame.select("*", F.explode(source).alias("__item"), F.lit(0).alias("__index")) if "__item" not in scope.ctx.frame.columns else scope.ctx.frame.select(*(c for c in scope.ctx.frame.columns if not c.startswith("__")), F.col("__item").alias("__outer"), F.explode(source).alias("__item"), F.lit(0).alias("__index"))
-        ctx = LoopContext(scope.ctx, proxy)
+        depth = scope.depth
+        key = (id(segment), len(rest), depth)
+        known = key in self.loops and isinstance(scope.ctx, LoopContext) and scope.ctx.replay
+        if not known:
+            self.loops[key] = LoopContext(scope.ctx, scope.ctx.frame.select("*", F.explode(source).alias(f"__item{depth}"), F.lit(0).alias(f"__index{depth}")))
+        ctx = self.loops[key]
 
         def build(x: Column, i: Column) -> Column:
             inner = Scope(self, ctx, None, {**scope.aliases, **({alias: x} if alias else {}), **({segment.counter: i.cast("long")} if segment.counter else {})}, i.cast("long"))
             inner.item = lambda p: inner.walk(x, p)
+            inner.depth = depth + 1
             ctx.sequence = i.cast("long")
             before, self.loop_values = self.loop_values, (lambda s, name, value: self._running(scope, source, ctx, inner, name, value, i))
             try:
@@ -176,7 +183,8 @@ class Compiler:
                 self.loop_values = before
 
         errors = list(self.errors)
-        build(F.col("__item"), F.col("__index"))
+        if not known:
+            build(F.col(f"__item{depth}"), F.col(f"__index{depth}"))
         self.errors = errors  # errors inside loops stay with the items, as nulls
         ctx.replay = True
 
