@@ -29,44 +29,49 @@ def _sub(text: Column, start: Column, count: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), F.greatest(count, F.lit(0)).cast("int"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: inside lambdas nothing else is."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _half_keys(line: Column, near_chars: int) -> Column:
     """Keys of which two lines at distance one share one: halves from either end, in lengths that fit n, n - 1 and n + 1."""
     n = F.length(line)
     low, high, under = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     left = lambda h: F.xxhash64(F.lit(0), h, F.substring(line, F.lit(1), h))
     right = lambda h: F.xxhash64(F.lit(1), h, F.substring(line, n - h + 1, h))
-    return F.when(n >= near_chars, F.array_distinct(F.array(left(low), left(high), right(low), right(under)))).otherwise(F.array().cast("array<bigint>"))
+    # of an even n the left halves are equal, of an odd n the right ones
+    return F.when(n < near_chars, F.array().cast("array<bigint>")).when(n % 2 == 0, F.array(left(low), right(low), right(under))).otherwise(F.array(left(low), left(high), right(low)))
 
 
 def document_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """doc_id, dk (hash of id and text) and lines: place, two hashes and half keys of each line that is not blank."""
-    lines = F.split("text", "\n", -1)
-    facts = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(1), x).alias("k2"), _half_keys(x, near_chars).alias("halves"), (F.trim(x) != "").alias("some")))
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.filter(facts, lambda x: x["some"]).alias("lines"))
+    """A row per line: doc_id, dk (hash of id and text), n_lines, place, two hashes and half keys; null texts have one row without a place."""
+    cut = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.split("text", "\n", -1).alias("x"))
+    rows = cut.select("doc_id", "dk", F.coalesce(F.size("x"), F.lit(0)).alias("n_lines"), F.posexplode_outer("x").alias("pos", "line"))
+    line = F.col("line")
+    return rows.select("doc_id", "dk", "n_lines", "pos", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"), _half_keys(line, near_chars).alias("halves"), (F.trim(line) != "").alias("some"))
 
 
 def _variants(line: Column) -> Column:
     """Keys of a line (place -1) and of its variants (place of the deleted character)."""
 
-    def at_size(g: Column) -> Column:
-        n = F.length(line)
-        count = F.floor((n - 1) / g).cast("int")
-
+    def at_size(g: Column, n: Column) -> Column:
         def segment(j: Column) -> Column:
             start = j * g
-            left = F.xxhash64(_sub(line, F.lit(0), start))
-            wide = _sub(line, start, g + 1)
-            rest = F.xxhash64(_sub(line, start + g + 1, n))
-            size = F.length(wide)
-            own = F.struct(F.xxhash64(g, j, left, F.xxhash64(_sub(line, start, g)), F.xxhash64(_sub(line, start + g, n))).alias("key"), F.lit(-1).alias("at"))
-            less = F.transform(F.sequence(F.lit(0), F.least(size, g) - 1), lambda t: F.struct(F.xxhash64(g, j, left, F.xxhash64(F.concat(_sub(wide, F.lit(0), t), _sub(wide, t + 1, size))), rest).alias("key"), (start + t).cast("int").alias("at")))
-            return F.concat(F.array(own), less)
+            facts = F.struct(F.xxhash64(g, j, F.xxhash64(_sub(line, F.lit(0), start))).alias("left"), _sub(line, start, g + 1).alias("wide"), F.xxhash64(_sub(line, start + g + 1, n)).alias("rest"), F.xxhash64(_sub(line, start + g, n)).alias("more"))
+
+            def keys(s: Column) -> Column:
+                size = F.length(s["wide"])
+                own = F.struct(F.xxhash64(s["left"], F.xxhash64(_sub(s["wide"], F.lit(0), g)), s["more"]).alias("key"), F.lit(-1).alias("at"))
+                less = F.transform(F.sequence(F.lit(0), F.least(size, g) - 1), lambda t: F.struct(F.xxhash64(s["left"], F.xxhash64(F.concat(_sub(s["wide"], F.lit(0), t), _sub(s["wide"], t + 1, g))), s["rest"]).alias("key"), (start + t).cast("int").alias("at")))
+                return F.concat(F.array(own), less)
+
+            return _let(facts, keys)
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), count), segment))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / g).cast("int")), segment))
 
     root = lambda n: F.ceil(F.sqrt(n)).cast("int")
-    sizes = F.array_distinct(F.array(root(F.length(line)), root(F.length(line) + 1)))
-    return F.flatten(F.transform(sizes, at_size))
+    return _let(F.length(line), lambda n: F.flatten(F.transform(F.array_distinct(F.array(root(n), root(n + 1))), lambda g: at_size(g, n))))
 
 
 def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
@@ -78,7 +83,7 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     ids come first. Other columns are not read.
     """
     base = save(document_lines(docs, near_chars), "lines")
-    lines = base.select("doc_id", "dk", F.explode("lines").alias("x")).select(F.struct("doc_id", "dk", "x.pos").alias("ord"), "x.k1", "x.k2", "x.halves")
+    lines = base.filter("some").select(F.struct("doc_id", "dk", "pos").alias("ord"), "k1", "k2", "halves")
     distinct = save(lines.groupBy("k1", "k2").agg(F.min(F.struct("ord", "halves")).alias("f")).select("k1", "k2", "f.ord", "f.halves"), "distinct")
 
     keys = distinct.select("ord", F.explode("halves").alias("half"))
@@ -87,21 +92,25 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     places = open_lines.groupBy("ord.dk").agg(F.collect_set("ord").alias("ords"))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("dk"), "text").join(places, "dk")
     cut = texts.select("ords", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("ord", F.get(F.filter("ords", lambda o: o["pos"] == F.col("pos")), 0)).filter("ord IS NOT NULL")
-    texts = save(cut.select("ord", "line").dropDuplicates(["ord"]), "open")
+    # numbered in their order, so that all that follows compares one number
+    texts = save(cut.select("ord", "line").dropDuplicates(["ord"]).orderBy("ord").withColumn("lid", F.monotonically_increasing_id()), "open")
 
     parts = parallelism(docs.sparkSession)
-    rows = texts.select("ord", F.explode(_variants(F.col("line"))).alias("v")).select("ord", "v.key", "v.at").repartition(parts, "key")
-    same = rows.filter("at >= 0").groupBy("key", "at").agg(F.min("ord").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    by_place = rows.join(same, ["key", "at"]).filter("low < ord").select("ord", "low")
-    least = rows.groupBy("key").agg(F.min(F.when(F.col("at") < 0, F.col("ord"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("ord"))).alias("less")).filter("whole IS NOT NULL AND less IS NOT NULL")
-    by_length = rows.join(least, "key").withColumn("low", F.when(F.col("at") < 0, F.col("less")).otherwise(F.col("whole"))).filter("low < ord").select("ord", "low")
+    rows = texts.repartition(parts, "lid").select("lid", F.explode(_variants(F.col("line"))).alias("v")).select("lid", "v.key", "v.at").repartition(parts, "key")
+    # most keys stand alone; the aggregate and the join read the same exchange
+    whole, less = F.when(F.col("at") < 0, F.col("lid")), F.when(F.col("at") >= 0, F.col("lid"))
+    met = rows.groupBy("key").agg(F.min(whole).alias("whole"), F.min(less).alias("less"), F.min("lid").alias("one"), F.max("lid").alias("other")).filter("one < other").drop("one", "other")
+    rows = save(rows.join(met, "key"), "met")
+    same = rows.filter("at >= 0").groupBy("key", "at").agg(F.min("lid").alias("low"))
+    by_place = rows.select("lid", "key", "at").join(same, ["key", "at"]).filter("low < lid").select("lid", "low")
+    by_length = rows.withColumn("low", F.when(F.col("at") < 0, F.col("less")).otherwise(F.col("whole"))).filter("low < lid").select("lid", "low")
     pairs = by_place.unionByName(by_length).distinct()
-    named = texts.select(F.col("ord").alias("low"), F.col("line").alias("earlier"))
-    near = pairs.join(texts, "ord").join(named, "low").filter(F.levenshtein("line", "earlier", 1).between(0, 1)).select("ord").distinct()
+    named = texts.select(F.col("lid").alias("low"), F.col("line").alias("earlier"))
+    near = pairs.join(texts, "lid").join(named, "low").filter(F.levenshtein("line", "earlier", 1).between(0, 1)).select("ord").distinct()
 
     gone = distinct.join(near.withColumn("near", F.lit(True)), "ord", "left").select("k1", "k2", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     removed = lines.select("ord", "k1", "k2").join(gone, ["k1", "k2"]).filter("near OR ord <> first").groupBy("ord.dk").agg(F.array_sort(F.collect_set("ord.pos")).alias("removed"))
-    return base.select("doc_id", "dk", "n_lines").join(removed, "dk", "left").select("doc_id", "dk", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return base.filter("coalesce(pos, 0) = 0").select("doc_id", "dk", "n_lines").join(removed, "dk", "left").select("doc_id", "dk", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def drop_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
