@@ -192,7 +192,9 @@ def marks_of(ids: np.ndarray, hashes: np.ndarray, rank: np.ndarray, a: np.ndarra
     first = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
     bounds = pa.array(np.append(first, len(doc)).astype(np.int32))
     who = doc[first]
-    return rows_of(len(first), part=pa.array(hashes[who] % parts), doc_id=pa.array(ids[who]), th=pa.array(hashes[who]), starts=pa.ListArray.from_arrays(bounds, pa.array(a)), ends=pa.ListArray.from_arrays(bounds, pa.array(b)))
+    # dealt by id and text: copies of one text share the hash
+    part = finish(ids[who].astype(np.uint64) * MIX + hashes[who].astype(np.uint64)) % np.uint64(parts)
+    return rows_of(len(first), part=pa.array(part.astype(np.int64)), doc_id=pa.array(ids[who]), th=pa.array(hashes[who]), starts=pa.ListArray.from_arrays(bounds, pa.array(a)), ends=pa.ListArray.from_arrays(bounds, pa.array(b)))
 
 
 BLOB = np.dtype([("m", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("a", "<i4"), ("n", "<i4")])
