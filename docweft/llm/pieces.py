@@ -28,6 +28,8 @@ MARK = "▁"
 TABLE_WORDS, TABLE_CHARS = 20_000, 48
 #: Words that a task keeps besides.
 KEPT_WORDS = 200_000
+#: Up to so many characters a word is merged over a list, beyond that over a heap.
+SHORT_WORD = 48
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
 
@@ -70,13 +72,14 @@ class PieceModel:
     ids: dict[str, int] = field(default_factory=dict, compare=False)
     byte_ids: tuple[int, ...] = ()
     unknown: int = 0
+    ranks: dict[str, float] = field(default_factory=dict, compare=False)
 
     @staticmethod
     def of(pieces, scores, types, model_type: int = BPE, dummy_prefix: bool = True) -> PieceModel:
         ids = {p: i for i, (p, t) in enumerate(zip(pieces, types, strict=True)) if t in (1, 4)}
         codes = {p: i for i, (p, t) in enumerate(zip(pieces, types, strict=True)) if t == 6}
         byte_ids = tuple(codes[f"<0x{b:02X}>"] for b in range(256)) if len(codes) == 256 else ()
-        return PieceModel(tuple(pieces), tuple(scores), tuple(types), model_type, dummy_prefix, ids, byte_ids, next((i for i, t in enumerate(types) if t == 2), 0))
+        return PieceModel(tuple(pieces), tuple(scores), tuple(types), model_type, dummy_prefix, ids, byte_ids, next((i for i, t in enumerate(types) if t == 2), 0), {p: scores[i] for p, i in ids.items()})
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> PieceModel:
@@ -107,7 +110,17 @@ class PieceModel:
 
     def encode_word(self, word: str) -> list[int]:
         """The fold of one word's lattice, in memory linear in the word."""
-        out: list[int] = []
+        if self.model_type == BPE and len(word) <= SHORT_WORD:
+            ids = self.ids
+            out = []
+            for part in _merged_short(word, self):
+                piece = ids.get(part)
+                if piece is None:
+                    out += self.fallback(part)
+                else:
+                    out.append(piece)
+            return out
+        out = []
         for a, b in (_merged if self.model_type == BPE else _viterbi)(word, self):
             piece = self.ids.get(word[a:b])
             out += self.fallback(word[a:b]) if piece is None else [piece]
@@ -123,6 +136,25 @@ class PieceModel:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+def _merged_short(word: str, model: PieceModel) -> list[str]:
+    """The same merges as `_merged`, for a short word: the scores of all neighbours stand in a list."""
+    get, none = model.ranks.get, -np.inf
+    parts = list(word)
+    scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while scores:
+        best = max(scores)
+        if best == none:
+            break
+        i = scores.index(best)
+        parts[i] += parts.pop(i + 1)
+        scores.pop(i)
+        if i < len(scores):
+            scores[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            scores[i - 1] = get(parts[i - 1] + parts[i], none)
+    return parts
+
+
 def _merged(word: str, model: PieceModel) -> list[tuple[int, int]]:
     """Merges neighbours whose union is a piece, best score first, leftmost at ties; a heap holds the candidates."""
     n = len(word)
