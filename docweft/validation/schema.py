@@ -167,7 +167,7 @@ def parse_schema(text: str) -> Schema:
             else:
                 where, kind = body, "section"
         elif line.startswith(":") or line.startswith("("):
-            m = re.match(r"(?::items\s*)?\((\d*)\.\.(\d*)\)", line)
+            m = re.match(r"(?::(?:items)?\s*)?\((\d*)\.\.(\d*)\)", line)
             if m and where.endswith("[]"):
                 rule = out.arrays.setdefault(where.removesuffix("[]"), {})
                 rule["min"], rule["max"] = (int(m[1]) if m[1] else None), (int(m[2]) if m[2] else None)
@@ -228,7 +228,7 @@ def serialize_schema(schema: Schema) -> str:
     for where, name, text in schema.rules:
         groups.setdefault(where, []).append(f":{name} {text}")
     for head, own in groups.items():
-        lines += ([f"{{{head}}}"] if head else []) + own
+        lines += [f"{{{head}}}", *own]
     return "\n".join(lines) + "\n"
 
 
