@@ -88,14 +88,13 @@ class LanguageFilters:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, grams_kept: int = GRAMS_KEPT, bits: int = CELL_BITS, probes: int = PROBES) -> LanguageFilters:
     """Learn from labelled rows (text and lang not null).
 
-    Fitted on at most `sample_rows` rows per language, those of smallest
-    xxhash64(text), of which the middle `sample_bytes` bytes count; the n-grams
+    Fitted on about 1.2 * `sample_rows` rows per language at most, drawn by
+    xxhash64(text), of which the middle `sample_bytes` characters count; the n-grams
     are counted in the cluster. A filter gets the `grams_kept` n-grams with the
     largest lift of a language's frequency over the mean of all, so the model's
     size does not depend on the input's. More than `MAX_LANGUAGES` labels raise.
     """
     known = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    # the threshold on h keeps the top-k small before it is sorted: each task passes on its own smallest rows only
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -103,7 +102,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAM
     for lang, n in sizes.items():
         cut = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * sample_rows / n))).otherwise(cut)
     at = F.greatest(F.lit(1), (F.length("text") / 2 - sample_bytes / 2).cast("int"))
-    sample = known.filter((F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))) < cut).select("lang", F.substring("text", at, F.lit(sample_bytes)).alias("text"))
+    sample = known.filter((F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))) < cut).select("lang", F.substring("text", at, F.lit(sample_bytes)).alias("text"), "h")
+    sample = sample.dropDuplicates(["lang", "h"]).drop("h")  # copies of one text count once, however many
 
     def count(batches):
         for rows, data, offsets in slices(batches):
