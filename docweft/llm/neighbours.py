@@ -23,7 +23,7 @@ from ._common import ship
 
 TABLES, HASHES, WIDTH, PROBES = 4, 2, 1.0, 8
 #: Vectors and queries of one bucket that meet in one task; larger buckets are cut, and all pairs of cuts are visited.
-VECTORS_AT_ONCE, QUERIES_AT_ONCE = 8192, 1024
+VECTORS_AT_ONCE, QUERIES_AT_ONCE = 1024, 1024
 SEED = 20240615
 
 
