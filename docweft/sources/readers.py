@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.functions.values import TransformError
+from docweft.plans import notation
 
 PATHS = "doc_id string, doc_seq int, pos int, path string, type string, value string, required boolean, confidential boolean, deprecated boolean"
 XML_DEPTH = 100
@@ -123,8 +127,6 @@ def parse_yaml(text: str):
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (file) and `doc`, the parsed tree as VARIANT."""
-    import json
-
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "json": [json.dumps(parse_yaml(t)) for t in pdf["value"]]})
@@ -137,14 +139,12 @@ def parse_notation(texts: DataFrame) -> DataFrame:
     """Texts of the typed notation (doc_id, value) as a path table; a text's further documents count on doc_seq."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from docweft.plans.notation import parse_documents, plain
-
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["value"], strict=True):
-                for seq, doc in enumerate(parse_documents(text or "")):
+                for seq, doc in enumerate(notation.parse_documents(text or "")):
                     for pos, (path, v) in enumerate(doc.assignments.items()):
-                        rows.append((str(doc_id), seq, pos, path, v.kind, None if v.kind == "null" else plain(v), "!" in v.modifiers, "*" in v.modifiers, "-" in v.modifiers))
+                        rows.append((str(doc_id), seq, pos, path, v.kind, None if v.kind == "null" else notation.plain(v), "!" in v.modifiers, "*" in v.modifiers, "-" in v.modifiers))
             yield pd.DataFrame(rows, columns=["doc_id", "doc_seq", "pos", "path", "type", "value", "required", "confidential", "deprecated"])
 
     return texts.select(F.col("doc_id").cast("string").alias("doc_id"), "value").mapInPandas(parse, PATHS)
@@ -162,3 +162,8 @@ def read_source(spark: SparkSession, name: str, path: str, **options) -> DataFra
     if name not in READERS or (name == "fixed-width" and "fields" not in options):
         raise TransformError("T006", f"cannot read {name}")
     return READERS[name](spark, path, **options)
+
+
+# the workers get these functions by value and need no copy of the package
+for _module in (notation, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
