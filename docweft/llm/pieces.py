@@ -26,8 +26,8 @@ from ._common import list_array, ship, slices
 MARK = "▁"
 #: Words (of at most so many characters) that the lattice tables hold.
 TABLE_WORDS, TABLE_CHARS = 20_000, 48
-#: Words that a task keeps besides.
-KEPT_WORDS = 200_000
+#: Words of each generation that a worker keeps besides, across its tasks.
+KEPT_WORDS = 150_000
 #: Up to so many characters a word is merged over a list, beyond that over a heap.
 SHORT_WORD = 48
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -203,6 +203,25 @@ def _viterbi(word: str, model: PieceModel) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+class Kept:
+    """Ids of words seen of late: a full generation becomes the old one, and what is used of it moves on."""
+
+    def __init__(self, size: int = KEPT_WORDS):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, word: str, model: PieceModel) -> np.ndarray:
+        ids = self.young.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                ids = np.array(model.encode_word(word), np.int32)
+            if len(word) <= TABLE_CHARS:
+                if len(self.young) >= self.size:
+                    self.young, self.old = {}, self.young
+                self.young[word] = ids
+        return ids
+
+
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
     """piece, id and score of the pieces that words are made of: a table whose size the model fixes."""
     rows = [(p, i, float(model.scores[i])) for p, i in model.ids.items()]
@@ -289,14 +308,13 @@ def encode(docs: DataFrame, model: PieceModel, keep: list[str] | None = None, ta
             ids += [i] if i >= 0 else model.fallback(r["word"][a:end])
             a = end
         table[r["word"]] = np.array(ids, np.int32)
-    held = docs.sparkSession.sparkContext.broadcast((model, table))
+    held = docs.sparkSession.sparkContext.broadcast((model, table, Kept()))
 
     def run(batches):
-        model, table = held.value
-        more: dict[str, np.ndarray] = {}
+        model, table, kept = held.value  # a worker has one copy, so what it keeps lasts from task to task
         raw = [bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else p.replace(MARK, " ").encode() for i, (p, t) in enumerate(zip(model.pieces, model.types, strict=True))]
         odd = np.array([t in (2, 6) for t in model.types])
-        for rows, _, _ in slices(batches, limit=1 << 20):
+        for rows, _, _ in slices(batches, limit=2 << 20):
             texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
             words: list[str] = []
             counts = np.zeros(len(texts), np.int64)
@@ -311,13 +329,7 @@ def encode(docs: DataFrame, model: PieceModel, keep: list[str] | None = None, ta
             for word in codes.dictionary.to_pylist():
                 ids = table.get(word)
                 if ids is None:
-                    ids = more.get(word)
-                    if ids is None:
-                        ids = np.array(model.encode_word(word), np.int32)
-                        if len(word) <= TABLE_CHARS:
-                            if len(more) >= KEPT_WORDS:
-                                more.clear()
-                            more[word] = ids
+                    ids = kept.get(word, model)
                 own.append(ids)
             sizes = np.array([len(x) for x in own], np.int64)
             flat = np.concatenate(own) if own else np.zeros(0, np.int32)
