@@ -130,19 +130,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
             marked = _mark(marked.drop("n_words"), block, ["doc_id", "text", "hits"]).withColumn("hits", F.concat("hits", "new_hits")).drop("new_hits")
     marked = save(marked.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_words", "hits"), "marked")
 
-    places = marked.filter(F.size("hits") > 0).select("rid", "n_words", F.explode("hits").alias("x")).select("rid", "n_words", "x.pos", "x.sh")
+    # each step is a small table: several read it, and plans stay short
+    places = save(marked.filter(F.size("hits") > 0).select("rid", "n_words", F.explode("hits").alias("x")).select("rid", "n_words", "x.pos", "x.sh"), "places")
     rarity = places.groupBy("sh").agg(F.count("*").alias("n"))
     grams = windows.withColumn("wid", F.sha2(F.concat_ws("\n", F.col("width").cast("string"), F.array_join("shingles", "\n")), 256))
     distinct = grams.groupBy("wid").agg(F.first("width").alias("width"), F.first("shingles").alias("shingles"))
     ranked = distinct.select("wid", "width", "shingles", F.posexplode("shingles").alias("off", "sh")).join(rarity, "sh")
     # a shingle that occurs nowhere rules its window out: such a window has fewer ranked shingles than it needs
     order = Window.partitionBy("wid").orderBy("n", "sh", "off")
-    prefix = ranked.withColumn("r", F.row_number().over(order)).withColumn("have", F.count("*").over(Window.partitionBy("wid"))).filter((F.col("r") == 1) & (F.col("have") == F.size("shingles"))).select("wid", "width", "shingles", "off", "sh")
+    prefix = save(ranked.withColumn("r", F.row_number().over(order)).withColumn("have", F.count("*").over(Window.partitionBy("wid"))).filter((F.col("r") == 1) & (F.col("have") == F.size("shingles"))).select("wid", "width", "shingles", "off", "sh"), "prefix")
     candidates = places.join(prefix, "sh").withColumn("start", F.col("pos") - F.col("off")).filter((F.col("start") >= 0) & (F.col("start") + F.col("width") <= F.col("n_words")))
     needed = candidates.select("rid", "wid", "width", "start", F.posexplode("shingles").alias("k", "sh")).withColumn("pos", F.col("start") + F.col("k"))
     held = needed.join(places.select("rid", "pos", "sh"), ["rid", "pos", "sh"])
     verified = held.groupBy("rid", "wid", "width", "start").agg(F.count("*").alias("n"), F.max("k").alias("last")).filter(F.col("n") == F.col("last") + 1)
-    full = verified.join(distinct.select("wid", F.size("shingles").alias("need")), "wid").filter(F.col("n") == F.col("need"))
+    full = save(verified.join(prefix.select("wid", F.size("shingles").alias("need")), "wid").filter(F.col("n") == F.col("need")).select("rid", "wid", "width", "start"), "full")
     hit = full.select("rid", "start", "width").distinct().select("rid", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("w")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
     items = full.select("rid", "wid").distinct().join(grams.select("wid", "item_id").distinct(), "wid").select("rid", "item_id").distinct().groupBy("rid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     out = marked.select("rid", "doc_id", "n_words").join(hit, "rid", "left").join(items, "rid", "left")

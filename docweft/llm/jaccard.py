@@ -209,11 +209,11 @@ def join_classes(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float =
 
     counts = links.groupBy(F.col("u").alias("rep")).agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
     roots = components(links.select("u", "v")).select(F.col("node").alias("rep"), "root")
-    rooted = nodes.join(roots, "rep", "left").join(counts, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = save(nodes.join(roots, "rep", "left").join(counts, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
     # the class's first row: smallest doc_id (nulls last), then first in the table
     named = rooted.groupBy("root").agg(F.min("low").alias("class_id"), F.min("rep").alias("any_rep"))
     classes = rooted.join(named, "root").select("s1", "s2", "root", "class_id", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("rows", F.lit(0)).alias("rows"), "any_rep")
-    out = narrow.drop("keys").join(classes, ["s1", "s2"], "left")
+    out = save(narrow.drop("keys").join(classes, ["s1", "s2"], "left"), "classes")
     first = out.filter("root IS NOT NULL AND doc_id <=> class_id").groupBy("root").agg(F.min("rid").alias("first_rid"))
     out = out.join(first, "root", "left")
     own = F.col("root").isNull()
