@@ -1,7 +1,6 @@
 """Notation, expressions, specifications and the compiler."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from docweft.functions.values import TransformError, verbs
 from docweft.plans.compiler import multi_record, select, transform
@@ -106,7 +105,6 @@ def test_array_edges(spark, expression, expected):
 SPEC = """
 {$}
 odin = "1.0.0"
-{$target}
 enforceConfidential = "mask"
 {$const}
 unit = "kg"
@@ -115,7 +113,6 @@ sum = #10
 {$table.T[code, name]}
 "a", "alpha"
 "a", "second"
-table.T._default = "none"
 _default = "none"
 {Out}
 who = @.name :upper :required
@@ -143,8 +140,8 @@ name = @Out.who
 
 def test_transform(spark):
     df = spark.sql("SELECT 'ann' AS name, CAST(NULL AS STRING) AS mail, 'a' AS code, '1234' AS pin, 'z' AS kind, true AS flag, array(named_struct('v', 1), named_struct('v', 2)) AS items")
-    r = transform(SPEC.replace('table.T._default = "none"\n', ""), df).first().asDict(True)
-    assert r["Out"] == {"who": "ANN", "mail": None, "code": "alpha", "unit": "kg", "pin": "1234" if False else r["Out"]["pin"], "kind": "z"}
+    r = transform(SPEC, df).first().asDict(True)
+    assert r["Out"] == {"who": "ANN", "mail": None, "code": "alpha", "unit": "kg", "pin": "****", "kind": "z"}
     assert [x["run"] for x in r["rows"]] == [11.0, 13.0]
     assert [x["n"] for x in r["rows"]] == [0, 1]
     assert r["A"] == {"x": 1} and r["B"] is None
@@ -174,4 +171,3 @@ def test_no_python_in_plans(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert len(verbs) == 293
-    assert F.lit(1) is not None
