@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, MIX, finish, ship, slices
+from ._common import LOWER, MIX, finish, save, ship, slices
 
 GRAM = 4
 CELL_BITS = 18
@@ -113,16 +113,17 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAM
                 values, n = np.unique(codes[langs[row] == lang], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = save(sample.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).filter("n > 1"), "grams")
     sums = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     freq = counted.join(F.broadcast(sums), "lang").select("lang", "code", (F.col("n") / F.col("total")).alias("f"))
     overall = freq.groupBy("code").agg((F.sum("f") / max(1, len(sizes))).alias("mean"))
     lift = freq.join(overall, "code").filter(F.col("f") > 0.5 * F.col("mean")).withColumn("lift", F.col("f") * F.log(1 + F.col("f") / F.col("mean")))
     languages = tuple(sizes)
     table = np.zeros(1 << bits, np.uint32)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("lift"), "code"))
+    best = lift.withColumn("place", place).filter(F.col("place") <= grams_kept).select("lang", "code").collect()  # at most MAX_LANGUAGES * grams_kept
     for k, lang in enumerate(languages):
-        best = lift.filter(F.col("lang") == lang).orderBy(F.desc("lift"), "code").limit(grams_kept).select("code").collect()
-        for c in cells(np.array([r["code"] for r in best], np.uint32), probes, bits):
+        for c in cells(np.array([r["code"] for r in best if r["lang"] == lang], np.uint32), probes, bits):
             table[c] |= np.uint32(1 << k)
     fill = np.array([((table >> np.uint32(k)) & np.uint32(1)).mean() for k in range(len(languages))])
     return LanguageFilters(languages, table, fill**probes, probes, bits)
