@@ -27,7 +27,7 @@ MARK = "▁"
 #: Words (of at most so many characters) that the lattice tables hold.
 TABLE_WORDS, TABLE_CHARS = 20_000, 48
 #: Words of each generation that a worker keeps besides, across its tasks.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 80_000
 #: Up to so many characters a word is merged over a list, beyond that over a heap.
 SHORT_WORD = 48
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
