@@ -50,8 +50,10 @@ def test_prefix_expressions():
     assert parse_expression('"plain"')[0] == Lit("plain")
     assert parse_expression("##@.year")[0] == Ref(".year", "integer")
     assert arity("substring") == 3 and arity("concat") is None and arity("today") == 0
-    with pytest.raises(TransformError):
-        parse_expression("%nothing @.x")
+    for bad, code in (("%nothing @.x", "T001"), ("%join @.x", "T002"), ("%upper @.x @.y", "T002")):
+        with pytest.raises(TransformError) as e:
+            parse_expression(bad)
+        assert e.value.code == code
 
 
 def test_formula_precedence():
@@ -94,8 +96,8 @@ ARRAY = "array(named_struct('k','a','v',3), named_struct('k','b','v',1), named_s
     ('%count %filter @r "v" ">" ##1', 1), ('%count %filter @r "missing" "=" ##1', 0), ('%every @e "" ">" ##1', True), ('%avg @e', None), ('%sum @n', 8), ('%median @n', 2.0), ('%mode @n', 2.0),
     ('%indexOf @n ##9', -1), ('%includes @n "2"', False), ('%count %window @n ##3', 2), ('%count %chunk @n ##3', 2), ('%join %cumsum @n ","', "1,3,5,8"), ('%join %lag @n ##1 ##0 ","', "0,1,2,2"),
     ('%join %shift @n ##9 ##7 ","', "7,7,7,7"), ('%get %pivot @r "k" "v" "b"', 1), ('%count %dedupe @r "k"', 2), ('%join %range ##5 ##1 ##-2 ","', "5,3"), ('%count %range ##1 ##1', 0), ('%stdSample %take @n ##1', None),
-    ('%correlation @n @n', 1.0), ('%correlation %take @n ##1 %take @n ##1', None), ('%reduce @n "multiply" #1', 12.0), ('%percentile @n ##150', 3.0), ('%join %union @n %range ##3 ##6 ","', "1,2,3,4,5"),
-    ('%join %map %groupBy @r "k" "key" ","', "a,b"), ('%count %explode @r "k"', 3), ('%join %fillMissing %map @r "v" ##0 "forward" ","', "3,1,1"), ('%at @n ##-1', 3), ('%at @n ##9', None), ('%join %slice @n ##-2 ","', "2,3"),
+    ('%correlation @n @n', 1.0), ('%correlation %take @n ##1 %take @n ##1', None), ('%reduce @n "multiply" #1', 12.0), ('%percentile @n ##150', 3.0), ('%join %union @n %range ##3 ##6 ##1 ","', "1,2,3,4,5"),
+    ('%join %map %groupBy @r "k" "key" ","', "a,b"), ('%count %explode @r "k"', 3), ('%join %fillMissing %map @r "v" ##0 "forward" ","', "3,1,1"), ('%at @n ##-1', 3), ('%at @n ##9', None), ('%join %slice @n ##-2 ##4 ","', "2,3"),
 ])
 def test_array_edges(spark, expression, expected):
     got = one(spark, expression, ARRAY)
