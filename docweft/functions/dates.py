@@ -21,7 +21,7 @@ def day(ctx, c) -> Column:
 def stamp(ctx, c) -> Column:
     """A timestamp; a text's zone offset is dropped, a date is midnight."""
     t = ctx.type(c)
-    if isinstance(t, (T.DateType, T.TimestampType)):
+    if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("timestamp")
     s = c.cast("string")
     plain = F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?)", 1)

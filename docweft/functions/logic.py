@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from .values import Context, TransformError, fmt, is_array, is_numeric, loose_equal, num, to_boolean, truthy, verb
 
 #: Names that typeOf gives.
-TYPE_NAMES = [(T.NullType, "null"), (T.BooleanType, "boolean"), (T.StringType, "string"), (T.DecimalType, "currency"), (T.IntegralType, "integer"), (T.NumericType, "number"), (T.DateType, "date"), (T.TimestampType, "timestamp"), (T.BinaryType, "binary"), (T.ArrayType, "array"), (T.StructType, "object"), (T.MapType, "object")]
+TYPE_NAMES = [(T.NullType, "null"), (T.BooleanType, "boolean"), (T.StringType, "string"), (T.DecimalType, "currency"), (T.IntegralType, "integer"), (T.NumericType, "number"), (T.DateType, "date"), (T.TimestampType, "timestamp"), (T.TimestampNTZType, "timestamp"), (T.BinaryType, "binary"), (T.ArrayType, "array"), (T.StructType, "object"), (T.MapType, "object")]
 
 
 def common(ctx: Context, *columns):
@@ -196,7 +196,7 @@ def is_object(ctx, v):
 
 @verb("isDate")
 def is_date(ctx, v):
-    return _is(ctx, v, lambda t: isinstance(t, (T.DateType, T.TimestampType)))
+    return _is(ctx, v, lambda t: isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)))
 
 
 @verb("typeOf")
@@ -233,7 +233,7 @@ def coerce_boolean(ctx, v):
 def iso_date(ctx, v):
     """A date from YYYY-MM-DD..., M/D/YYYY, YYYYMMDD, epoch seconds or a date value; else null."""
     t = ctx.type(v)
-    if isinstance(t, (T.DateType, T.TimestampType)):
+    if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return v.cast("date")
     if is_numeric(t):
         return F.timestamp_seconds(v.cast("long")).cast("date")
@@ -248,7 +248,7 @@ def coerce_date(ctx, v):
 
 @verb("coerceTimestamp")
 def coerce_timestamp(ctx, v):
-    if isinstance(ctx.type(v), (T.DateType, T.TimestampType)):
+    if isinstance(ctx.type(v), (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss")
     s = v.cast("string")
     return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}T"), s).when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(s, F.lit("T00:00:00")))

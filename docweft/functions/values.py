@@ -134,7 +134,7 @@ def fmt(ctx: Context, c: Column) -> Column:
         return F.to_json(c)
     if isinstance(t, T.NullType):
         return F.lit(None).cast("string")
-    if isinstance(t, T.TimestampType):
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     return c.cast("string")
 

@@ -14,7 +14,7 @@ MAX_HOPS = 100
 
 def path_table(df: DataFrame, doc_id: str, columns: list[str]) -> DataFrame:
     """Columns of a table as paths, one row per value."""
-    kinds = {T.StringType: "string", T.BooleanType: "boolean", T.DateType: "date", T.TimestampType: "timestamp"}
+    kinds = {T.StringType: "string", T.BooleanType: "boolean", T.DateType: "date", T.TimestampType: "timestamp", T.TimestampNTZType: "timestamp"}
 
     def kind(t: T.DataType) -> str:
         return "integer" if isinstance(t, T.IntegralType) else "number" if isinstance(t, T.NumericType) else kinds.get(type(t), "string")

@@ -41,7 +41,7 @@ def _escape(s: Column) -> Column:
 
 
 #: Names of types in type hints.
-HINTS = [(T.BooleanType, "boolean"), (T.IntegralType, "integer"), (T.DecimalType, "currency"), (T.NumericType, "number"), (T.DateType, "date"), (T.TimestampType, "timestamp")]
+HINTS = [(T.BooleanType, "boolean"), (T.IntegralType, "integer"), (T.DecimalType, "currency"), (T.NumericType, "number"), (T.DateType, "date"), (T.TimestampType, "timestamp"), (T.TimestampNTZType, "timestamp")]
 
 
 def xml_text(name: str, c: Column, t: T.DataType, hints: bool = False) -> Column:
@@ -103,7 +103,7 @@ def notation_value(c: Column, t: T.DataType) -> Column:
         out = F.concat(F.lit("#"), number_format(c.cast("double")))
     elif isinstance(t, T.DateType):
         out = c.cast("string")
-    elif isinstance(t, T.TimestampType):
+    elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         out = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     else:
         s = F.replace(F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))

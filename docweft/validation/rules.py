@@ -34,7 +34,7 @@ def safe_pattern(pattern: str) -> bool:
 
 
 def kind_of(t: T.DataType) -> str:
-    table = [(T.BooleanType, "boolean"), (T.IntegralType, "integer"), (T.DecimalType, "currency"), (T.NumericType, "number"), (T.DateType, "date"), (T.TimestampType, "timestamp"), (T.BinaryType, "binary"), (T.ArrayType, "array"), (T.StructType, "object"), (T.MapType, "object")]
+    table = [(T.BooleanType, "boolean"), (T.IntegralType, "integer"), (T.DecimalType, "currency"), (T.NumericType, "number"), (T.DateType, "date"), (T.TimestampType, "timestamp"), (T.TimestampNTZType, "timestamp"), (T.BinaryType, "binary"), (T.ArrayType, "array"), (T.StructType, "object"), (T.MapType, "object")]
     return next((name for kind, name in table if isinstance(t, kind)), "string")
 
 
