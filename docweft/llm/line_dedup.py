@@ -63,12 +63,14 @@ def _variants(line: Column) -> Column:
             def keys(s: Column) -> Column:
                 size = F.length(s["wide"])
                 own = F.struct(F.xxhash64(s["left"], F.xxhash64(_sub(s["wide"], F.lit(0), g)), s["more"]).alias("key"), F.lit(-1).alias("at"))
-                less = F.transform(F.sequence(F.lit(0), F.least(size, g) - 1), lambda t: F.struct(F.xxhash64(s["left"], F.xxhash64(F.concat(_sub(s["wide"], F.lit(0), t), _sub(s["wide"], t + 1, g))), s["rest"]).alias("key"), (start + t).cast("int").alias("at")))
+                # the segment past the last character (n a multiple of g) has no places, but a longer line's last one
+                places = F.when(size > 0, F.sequence(F.lit(0), F.least(size, g) - 1)).otherwise(F.array().cast("array<int>"))
+                less = F.transform(places, lambda t: F.struct(F.xxhash64(s["left"], F.xxhash64(F.concat(_sub(s["wide"], F.lit(0), t), _sub(s["wide"], t + 1, g))), s["rest"]).alias("key"), (start + t).cast("int").alias("at")))
                 return F.concat(F.array(own), less)
 
             return _let(facts, keys)
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / g).cast("int")), segment))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / g).cast("int")), segment))
 
     root = lambda n: F.ceil(F.sqrt(n)).cast("int")
     return _let(F.length(line), lambda n: F.flatten(F.transform(F.array_distinct(F.array(root(n), root(n + 1))), lambda g: at_size(g, n))))

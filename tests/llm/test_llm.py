@@ -301,6 +301,20 @@ def test_lines_match_brute_force(spark, docs):
     assert line_dedup.drop_lines(frame(spark, docs)).count() == len(docs)
 
 
+@pytest.mark.parametrize("longer_first", [False, True])
+def test_lines_with_another_last_character(spark, longer_first):
+    r = random.Random(11)
+    docs = []
+    for n in sorted({20, 21, 29, *(g * (g - 1) for g in range(5, 13)), *(g * g for g in range(5, 12))}):
+        for end in (".", "\r", "é"):
+            line = "".join(r.choice("abcdé") for _ in range(n))
+            pair = [line + end, line] if longer_first else [line, line + end]
+            docs += [(len(docs), pair[0]), (len(docs) + 1, pair[1])]
+    got = line_dedup.duplicate_lines(frame(spark, docs)).collect()
+    assert sorted(str((r["doc_id"], r["n_lines"], r["removed"])) for r in got) == brute_lines(docs, line_dedup.NEAR_CHARS)
+    assert sum(len(r["removed"]) for r in got) == len(docs) // 2
+
+
 # jaccard
 
 
