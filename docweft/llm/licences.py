@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Known sentences of public licences, by identifier. A sentence may span up to LINES lines.
+# Known sentences of public licences, by identifier. A sentence may span any number of lines.
 SENTENCES = {
     "apache2-line": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")", "This project is licensed under the Apache License, Version 2.0", "Apache License, Version 2.0", "Released under the Apache License 2.0", "Distributed under the Apache License, Version 2.0"],
     "apache2-comply": ["you may not use this file except in compliance with the License"],
@@ -97,7 +97,6 @@ RULES = [
 
 #: Each known sentence holds one of these.
 TRIGGERS = ("licen", "permi", "redistribut", "copyright", "software", "rights reserved", "the mpl was not", "gnu general")
-LINES = 4
 
 
 def normal(text: Column) -> Column:
@@ -109,9 +108,14 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _known() -> Column:
+def _rows() -> list[tuple[str, str]]:
+    """Normalised sentences and their identifiers, the longest first."""
     rows = [(" ".join("".join(c if c.isascii() and c.isalnum() else " " for c in s.lower()).split()), i) for i, group in SENTENCES.items() for s in group]
-    return F.array(*(F.struct(F.lit(s).alias("s"), F.lit(i).alias("i")) for s, i in rows))
+    return sorted(rows, key=lambda r: -len(r[0]))
+
+
+def _known() -> Column:
+    return F.array(*(F.struct(F.lit(s).alias("s"), F.lit(i).alias("i")) for s, i in _rows()))
 
 
 def triggered(text: Column) -> Column:
@@ -127,12 +131,28 @@ def sentence_ids(text: Column) -> Column:
     cut = F.split(F.regexp_replace(text, r"([.!?;])\s+", "$1\n"), "\n+", -1)
     pieces = F.filter(F.transform(cut, normal), lambda x: x != "")
 
+    most = max(len(s.split()) for s, _ in _rows())  # a piece has a word at least, so no sentence spans more pieces
+
     def look(p: Column) -> Column:
         n = F.size(p)
-        start = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LINES), n - i)), lambda k: F.array_join(F.slice(p, i + 1, k), " "))
-        match = lambda s: F.get(F.filter(_known(), lambda k: k["s"] == s), 0)["i"]
+        join = lambda i, k: F.array_join(F.slice(p, i + 1, k), " ")
+
+        def longest(i: Column) -> Column:
+            def ended(found: Column) -> Column:
+                """The longest of the sentences that the text goes on with, if it ends where a piece ends."""
+                ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - i)), lambda k: F.length(join(i, k)))
+                return F.when(F.size(found) > 0, _let(ends, lambda e: F.get(F.filter(found, lambda k: F.array_contains(e, F.length(k["s"]))), 0)["i"]))
+
+            def begun(found: Column) -> Column:
+                """Most pieces begin no sentence; of those that do, all that follows is compared."""
+                follows = F.concat(join(i, F.lit(most)), F.lit(" "))
+                return F.when(F.size(found) > 0, _let(_let(follows, lambda t: F.filter(found, lambda k: F.startswith(t, F.concat(k["s"], F.lit(" "))))), ended))
+
+            first = F.concat(F.get(p, i), F.lit(" "))
+            return _let(_let(first, lambda t: F.filter(_known(), lambda k: F.startswith(F.concat(k["s"], F.lit(" ")), t))), begun)
+
         # of the sentences that start at a place, the longest counts
-        ids = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.transform(start(i), match), lambda x: x.isNotNull())), -1))
+        ids = F.transform(F.sequence(F.lit(0), n - 1), longest)
         return F.when(n > 0, F.array_compact(ids)).otherwise(F.array().cast("array<string>"))
 
     return F.when(triggered(text), _let(pieces, look)).otherwise(F.array().cast("array<string>"))

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -252,6 +253,33 @@ def test_licences(spark):
     assert found == known
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BODIES = {
+    "MIT": [licences.SENTENCES["mit-grant"][0], *(licences.SENTENCES[i][0] + "." for i in ("mit-notice", "mit-asis"))],
+    "GPL-2.0-or-later": [" ".join(licences.SENTENCES[i][0] + "." for i in ("gpl-free2", "gpl-hope", "gpl-details"))],
+    "GPL-3.0-or-later": [" ".join(licences.SENTENCES[i][0] + "." for i in ("gpl-free3", "gpl-hope", "gpl-details"))],
+    "BSD-3-Clause": [licences.SENTENCES["bsd-grant"][0], *(f"{k}. {licences.SENTENCES[i][0]}." for k, i in enumerate(("bsd-source", "bsd-binary", "bsd-endorse"), 1))],
+    "ISC": [licences.SENTENCES["isc-grant"][0] + "."],
+    "Apache-2.0": APACHE.split("\n\n"),
+}
+
+
+def test_licences_wrapped_at_any_width(spark):
+    names, docs = list(BODIES), []
+    for name in names:
+        for width in (12, 40, 72, 78, 200):
+            for mark in ("", " * ", "# ", "// "):
+                lines = [mark + x for part in BODIES[name] for x in [*textwrap.wrap(part.strip(), width, break_long_words=False, break_on_hyphens=False), ""]]
+                docs.append((names.index(name), "Copyright (c) 2020 Some Body\n\n" + "\n".join(lines) + "\ncode();\n"))
+    docs.append((len(names), "Permission is hereby granted, free of charge,\nto nobody.\nThe MIT License\nis not meant"))
+    got = [(r["doc_id"], r["licences"]) for r in licences.scan_licences(frame(spark, docs)).collect()]
+    assert len(got) == len(docs) and {(d, *x) for d, x in got} == {(d, *names[d : d + 1]) for d, _ in docs}
+
+
 # line dedup
 
 
