@@ -95,8 +95,8 @@ RULES = [
     ("LicenseRef-Proprietary", ["proprietary-line"]),
 ]
 
-#: Each known sentence holds one of these.
-TRIGGERS = ("licen", "permi", "redistribut", "copyright", "software", "rights reserved", "the mpl was not", "gnu general")
+#: Each known sentence holds one of these; single words, so that line breaks and signs between words do not matter.
+TRIGGERS = ("licen", "permi", "redistribut", "copyright", "software", "reserved", "mozilla", "merchantability", "cc0")
 
 
 def normal(text: Column) -> Column:

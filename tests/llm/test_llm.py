@@ -280,6 +280,17 @@ def test_licences_wrapped_at_any_width(spark):
     assert len(got) == len(docs) and {(d, *x) for d, x in got} == {(d, *names[d : d + 1]) for d, _ in docs}
 
 
+def test_every_known_sentence_is_triggered_and_found(spark):
+    known = [(s, i) for i, group in licences.SENTENCES.items() for s in group]
+    texts = [(k, form(s)) for k, (s, _) in enumerate(known) for form in (str, str.upper, lambda s: s.replace(" ", "\n"), lambda s: s.replace(" ", "  \r\n# "))]
+    df = frame(spark, texts)
+    assert df.filter(~licences.triggered(F.col("text"))).count() == 0
+    assert all(known[r["doc_id"]][1] in r["sentence_ids"] for r in licences.scan_licences(df).collect())
+    few = [(0, "Released under CC0 1.0"), (1, "Some Body.\nAll Rights\nReserved."), (2, "unreserved praise")]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan_licences(frame(spark, few)).collect()}
+    assert got == {0: ["CC0-1.0"], 1: ["LicenseRef-Proprietary"], 2: []}
+
+
 # line dedup
 
 
