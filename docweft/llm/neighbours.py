@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ship
+from ._common import save, ship
 
 TABLES, HASHES, WIDTH, PROBES = 4, 2, 1.0, 8
 #: Vectors and queries of one bucket that meet in one task; larger buckets are cut, and all pairs of cuts are visited.
@@ -64,6 +64,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hash
     """
     spark = vectors.sparkSession
     usable_rows = usable(vectors)
+    facts = usable_rows.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).first()
+    if facts["n"] > facts["ids"]:  # exact copies go here; other rows of one vec_id meet in their best score
+        usable_rows = save(usable_rows.distinct(), "vectors")
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     top = usable_rows.agg(F.max(norm).alias("top"), F.max(F.size("embedding")).alias("d")).first()
     largest, d = float(top["top"] or 1.0), int(top["d"] or 1)
@@ -100,16 +103,19 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hash
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            ids, v = left.column("vec_id").to_numpy(), _matrix(left, "v")
+            order = np.argsort(left.column("vec_id").to_numpy(), kind="stable")
+            ids, v = left.column("vec_id").to_numpy()[order], _matrix(left, "v")[order]
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             asked, q = right.column("query_id").to_numpy(), _matrix(right, "q")
             for s in range(0, len(q), 128):
                 rough = q[s : s + 128] @ v.T
                 rough[asked[s : s + 128, None] == ids[None, :]] = -np.inf
-                least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(rough), -np.inf)
+                by_id = rough if len(starts) == len(ids) else np.maximum.reduceat(rough, starts, axis=1)
+                least = np.partition(by_id, -k, axis=1)[:, -k] if len(starts) > k else np.full(len(rough), -np.inf)
                 for i, low in enumerate(least):
                     near = np.flatnonzero((rough[i] >= low - 1e-9 * (1 + abs(low))) & (rough[i] > -np.inf)) if low > -np.inf else np.flatnonzero(rough[i] > -np.inf)
                     exact = (v[near] * q[s + i]).sum(axis=1)
-                    best = np.lexsort((ids[near], -exact))[: 2 * k]
+                    best = np.lexsort((ids[near], -exact))
                     out["query_id"].append(np.full(len(best), asked[s + i]))
                     out["vec_id"].append(ids[near[best]])
                     out["score"].append(exact[best])
@@ -125,8 +131,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hash
     q_cuts = asked.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).alias("qc"))
     cuts = v_cuts.join(q_cuts, ["tab", "bucket"])
     zero = F.lit(0).cast("long")
-    left = placed.join(cuts, ["tab", "bucket"]).select("tab", "bucket", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.col("vc")).alias("vp"), F.explode(F.sequence(zero, F.col("qc") - 1)).alias("qp"))
-    right = asked.join(cuts, ["tab", "bucket"]).select("tab", "bucket", "query_id", "q", F.explode(F.sequence(zero, F.col("vc") - 1)).alias("vp"), F.pmod(F.xxhash64("query_id"), F.col("qc")).alias("qp"))
+    left = placed.join(cuts, ["tab", "bucket"]).select("tab", "bucket", "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.col("vc")).alias("vp"), F.explode(F.sequence(zero, F.col("qc") - 1)).alias("qp"))
+    right = asked.join(cuts, ["tab", "bucket"]).select("tab", "bucket", "query_id", "q", F.explode(F.sequence(zero, F.col("vc") - 1)).alias("vp"), F.pmod(F.xxhash64("query_id", "q"), F.col("qc")).alias("qp"))
     keys = ["tab", "bucket", "vp", "qp"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     merged = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -455,6 +455,39 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(df.filter("false"), "vec_id = 0").count() == 0
 
 
+def brute_neighbours(rows, asked, k=20):
+    """Ids of each query id, by the best score over the rows of both."""
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(np.float64)
+    unique, place = np.unique(ids, return_inverse=True)
+    out = {}
+    for q in asked:
+        best = np.full(len(unique), -np.inf)
+        for s in m[ids == q] @ m.T:
+            np.maximum.at(best, place, s)
+        best[unique == q] = -np.inf
+        out[q] = set(unique[np.lexsort((unique, -best))[: min(k, len(unique) - 1)]].tolist())
+    return out
+
+
+def neighbour_recall(spark, rows, asked, copies=1):
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in rows], "vec_id bigint, embedding array<float>").crossJoin(spark.range(copies).select(F.col("id").alias("copy")))
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id").isin([int(q) for q in asked])).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute_neighbours(rows, asked)
+    assert {q: len(set(x)) for q, x in got.items()} == {q: len(x) for q, x in want.items()} and all(len(x) == len(set(x)) for x in got.values())
+    return np.mean([len(set(got[q]) & x) / len(x) for q, x in want.items()])
+
+
+@pytest.mark.parametrize("copies,scales", [(20, [1.0]), (1, np.linspace(0.9, 1, 20))])
+def test_neighbours_of_repeated_rows(spark, copies, scales):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((100, 64))[np.arange(1500) % 100] + 0.5 * rng.standard_normal((1500, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, x * s) for i, x in enumerate(v) for s in scales]
+    assert neighbour_recall(spark, rows, list(range(0, 1500, 50)), copies) >= 0.97
+
+
 # queries and pipeline
 
 
