@@ -7,7 +7,11 @@ distance to it, and combinations of steps are tried in order of their total cost
 Candidates from all tables are scored exactly, in double precision, and merged.
 
 Largest inner product is turned into smallest distance by one more coordinate:
-sqrt(M^2 - |v|^2) for a vector (M: largest norm), 0 for a query.
+sqrt(M^2 - |v|^2) for a vector (M: largest norm), 0 for a query. Vectors are split
+into bands of at most about twofold norm, each with its own M, so that a few long
+vectors do not press all others together; a band that fits one cut is one bucket.
+
+A query that finds fewer than k of the ids that there are is searched exactly.
 """
 
 from __future__ import annotations
@@ -68,8 +72,15 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hash
     if facts["n"] > facts["ids"]:  # exact copies go here; other rows of one vec_id meet in their best score
         usable_rows = save(usable_rows.distinct(), "vectors")
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    top = usable_rows.agg(F.max(norm).alias("top"), F.max(F.size("embedding")).alias("d")).first()
-    largest, d = float(top["top"] or 1.0), int(top["d"] or 1)
+    squares = usable_rows.select(norm.alias("s"), F.size("embedding").alias("d"))
+    bins = squares.groupBy(F.floor(4 * F.log2("s")).alias("bin")).agg(F.max("s").alias("top"), F.count("*").alias("n"), F.max("d").alias("d")).collect()  # 4 an octave of the square
+    d = max((r["d"] for r in bins), default=1)
+    bands = []
+    for r in sorted(bins, key=lambda r: -r["top"]):
+        if not bands or r["top"] < bands[-1][0] / 4:
+            bands.append([r["top"] or 1.0, 0])
+        bands[-1][1] += r["n"]
+    tops, small = np.array([b[0] for b in bands][::-1] or [1.0]), [b[1] <= VECTORS_AT_ONCE for b in bands][::-1] or [True]
     planes, shift = _planes(d, tables, hashes)
     combos = np.array(list(itertools.product((-1, 0, 1), repeat=hashes)))
     kind = vectors.schema["embedding"].dataType.simpleString()
@@ -79,11 +90,16 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hash
         planes, shift = held.value
         for rows in batches:
             v = _matrix(rows, "embedding")
-            last = np.sqrt(np.maximum(largest - (v * v).sum(axis=1), 0))[:, None]
-            v = np.hstack([v, last]) / np.sqrt(largest)
+            square = (v * v).sum(axis=1)
+            band = np.minimum(np.searchsorted(tops, square * (1 - 1e-12)), len(tops) - 1)
+            last = np.sqrt(np.maximum(tops[band] - square, 0))[:, None]
+            v = np.hstack([v, last]) / np.sqrt(tops[band])[:, None]
+            alone = np.array(small)[band]
             for t in range(len(planes)):
-                bucket = _name(np.floor(v @ planes[t] / width + shift[t]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(bucket), rows.column(0), rows.column(1)], names=["tab", "bucket", "vec_id", "v"])
+                bucket = np.where(alone, 0, _name(np.floor(v @ planes[t] / width + shift[t]).astype(np.int64)))
+                take = pa.array(np.flatnonzero(~alone) if t else np.arange(len(v)))
+                tab = pa.array((band * len(planes) + t).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([tab.take(take), pa.array(bucket).take(take), rows.column(0).take(take), rows.column(1).take(take)], names=["tab", "bucket", "vec_id", "v"])
 
     def probe(batches):
         planes, shift = held.value
@@ -97,8 +113,12 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hash
                 cost = sum(np.where(combos[:, j] == -1, part[:, [j]] ** 2, np.where(combos[:, j] == 1, (1 - part[:, [j]]) ** 2, 0)) for j in range(slot.shape[1]))
                 best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
                 bucket = _name(slot[:, None, :] + combos[best])
-                take = pa.array(np.repeat(np.arange(len(q)), best.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(bucket.size, t, np.int32)), pa.array(bucket.reshape(-1)), rows.column(0).take(take), rows.column(1).take(take)], names=["tab", "bucket", "query_id", "q"])
+                for band, alone in enumerate(small):
+                    if alone and t:
+                        continue
+                    seen = np.zeros((len(q), 1), np.int64) if alone else bucket
+                    take = pa.array(np.repeat(np.arange(len(q)), seen.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(seen.size, band * len(planes) + t, np.int32)), pa.array(seen.reshape(-1)), rows.column(0).take(take), rows.column(1).take(take)], names=["tab", "bucket", "query_id", "q"])
 
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -125,19 +145,33 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, hash
                         out[c][-1] = out[c][-1][one]
         return pa.table({c: np.concatenate(x) if x else np.zeros(0, np.float64 if c == "score" else np.int64) for c, x in out.items()})
 
-    placed = usable_rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(index, f"tab int, bucket bigint, vec_id bigint, v {kind}")
-    asked = usable_rows.filter(queries).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(probe, f"tab int, bucket bigint, query_id bigint, q {kind}")
-    v_cuts = placed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / VECTORS_AT_ONCE).alias("vc"))
-    q_cuts = asked.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).alias("qc"))
-    cuts = v_cuts.join(q_cuts, ["tab", "bucket"])
-    zero = F.lit(0).cast("long")
-    left = placed.join(cuts, ["tab", "bucket"]).select("tab", "bucket", "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.col("vc")).alias("vp"), F.explode(F.sequence(zero, F.col("qc") - 1)).alias("qp"))
-    right = asked.join(cuts, ["tab", "bucket"]).select("tab", "bucket", "query_id", "q", F.explode(F.sequence(zero, F.col("vc") - 1)).alias("vp"), F.pmod(F.xxhash64("query_id", "q"), F.col("qc")).alias("qp"))
-    keys = ["tab", "bucket", "vp", "qp"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    merged = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best_of(placed: DataFrame, asked: DataFrame, at_once: int) -> DataFrame:
+        v_cuts = placed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / at_once).alias("vc"))
+        q_cuts = asked.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).alias("qc"))
+        cuts = v_cuts.join(q_cuts, ["tab", "bucket"])
+        zero = F.lit(0).cast("long")
+        left = placed.join(cuts, ["tab", "bucket"]).select("tab", "bucket", "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.col("vc")).alias("vp"), F.explode(F.sequence(zero, F.col("qc") - 1)).alias("qp"))
+        right = asked.join(cuts, ["tab", "bucket"]).select("tab", "bucket", "query_id", "q", F.explode(F.sequence(zero, F.col("vc") - 1)).alias("vp"), F.pmod(F.xxhash64("query_id", "q"), F.col("qc")).alias("qp"))
+        keys = ["tab", "bucket", "vp", "qp"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+        merged = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    every = usable_rows.select(F.col("vec_id").cast("long"), "embedding")
+    chosen = usable_rows.filter(queries).select(F.col("vec_id").cast("long"), "embedding")
+    placed = every.mapInArrow(index, f"tab int, bucket bigint, vec_id bigint, v {kind}")
+    asked = chosen.mapInArrow(probe, f"tab int, bucket bigint, query_id bigint, q {kind}")
+    first = save(best_of(placed, asked, VECTORS_AT_ONCE), "first")
+
+    counts = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"))
+    short = chosen.join(counts, "vec_id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, facts["ids"] - 1))
+    one = [F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket")]
+    short = save(short.select(*one, F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "short")
+    if short.isEmpty():
+        return first
+    rest = best_of(every.select(*one, "vec_id", F.col("embedding").alias("v")), short, max(VECTORS_AT_ONCE, (1 << 20) // d))
+    return first.join(short.select("query_id").distinct(), "query_id", "left_anti").select(*first.columns).unionByName(rest)
 
 
 ship(__name__)

@@ -488,6 +488,15 @@ def test_neighbours_of_repeated_rows(spark, copies, scales):
     assert neighbour_recall(spark, rows, list(range(0, 1500, 50)), copies) >= 0.97
 
 
+@pytest.mark.parametrize("skew", ["one long", "lognormal"])
+def test_neighbours_of_skewed_norms(spark, skew):
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((5000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v *= (np.where(np.arange(5000) == 17, 100, 1) if skew == "one long" else rng.lognormal(0, 1, 5000))[:, None]
+    assert neighbour_recall(spark, list(enumerate(v)), list(range(0, 5000, 20))) >= 0.9
+
+
 # queries and pipeline
 
 
