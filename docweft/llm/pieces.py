@@ -1,37 +1,41 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Words (a run of word marks and what follows it) are split off; no piece of a
-model crosses into another word. The most frequent words are encoded by tables:
-their substrings up to the longest piece are exploded, equi-joined to the piece
-table, and the edges grouped by word. One higher-order aggregate folds each
-word's lattice: Viterbi for unigram models, rank-ordered merges for BPE models
-(there the best sum of scores is not the encoding that the model defines).
-The fold's result is a table of bounded size, which is sent to the tasks. Words
-beyond it are encoded in the tasks, on the same lattice with the same fold.
+Texts are cut where no piece of the model can span: between two bytes that no
+piece holds side by side. What lies between two cuts is a word; pieces never
+cross a cut, so each distinct word is encoded once and its ids are put together.
+
+Frequent words are encoded by tables: their substrings up to the longest piece
+are exploded, equi-joined to the piece table, and the edges grouped by word. One
+higher-order aggregate folds each word's lattice: Viterbi for unigram models,
+rank-ordered merges for BPE models (there the best sum of scores is not the
+encoding that the model defines). Frequent means a share of all words, so the
+table has at most 1 / share rows, whatever the input; it is sent to the tasks.
+Rarer words are joined to the piece table and folded inside the tasks, all the
+distinct words of a slice at once, over arrays: the same merges, the same ids.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import list_array, ship, slices
+from ._common import MIX, list_array, save, ship, slices, utf8
 
 MARK = "▁"
-#: Words (of at most so many characters) that the lattice tables hold.
-TABLE_WORDS, TABLE_CHARS = 20_000, 48
-#: Words of each generation that a worker keeps besides, across its tasks.
-KEPT_WORDS = 80_000
-#: Up to so many characters a word is merged over a list, beyond that over a heap.
-SHORT_WORD = 48
-WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Words with this share of all words or more go through the tables (so at most 1 / share do), if no longer than this.
+TABLE_SHARE, TABLE_CHARS = 1e-5, 48
+#: Text that is cut into words at once, and whose distinct words are folded at once.
+SLICE = 4 << 20
+#: Up to so many characters words are merged side by side over arrays, beyond that each over a heap.
+SIDE_BY_SIDE = 64
 UNIGRAM, BPE = 1, 2
+NONE = np.int32(2**31 - 1)
 
 
 def _fields(data: bytes):
@@ -104,55 +108,17 @@ class PieceModel:
     def fallback(self, sign: str) -> list[int]:
         return [self.byte_ids[b] for b in sign.encode("utf-8")] if self.byte_ids else [self.unknown]
 
-    def prepared(self, text: str) -> str:
-        text = text.replace(" ", MARK)
-        return MARK + text if text and self.dummy_prefix else text
-
     def encode_word(self, word: str) -> list[int]:
         """The fold of one word's lattice, in memory linear in the word."""
-        if self.model_type == BPE and len(word) <= SHORT_WORD:
-            ids = self.ids
-            out = []
-            for part in _merged_short(word, self):
-                piece = ids.get(part)
-                if piece is None:
-                    out += self.fallback(part)
-                else:
-                    out.append(piece)
-            return out
         out = []
         for a, b in (_merged if self.model_type == BPE else _viterbi)(word, self):
             piece = self.ids.get(word[a:b])
             out += self.fallback(word[a:b]) if piece is None else [piece]
         return out
 
-    def decode(self, ids) -> str:
-        """Text of the ids; control pieces are dropped, invalid byte runs replaced."""
-        parts = []
-        for i in ids:
-            kind = self.types[i]
-            parts.append(bytes([int(self.pieces[i][3:5], 16)]) if kind == 6 else b"" if kind == 3 else self.pieces[i].replace(MARK, " ").encode())
-        text = b"".join(parts).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text[:1] == " " else text
-
-
-def _merged_short(word: str, model: PieceModel) -> list[str]:
-    """The same merges as `_merged`, for a short word: the scores of all neighbours stand in a list."""
-    get, none = model.ranks.get, -np.inf
-    parts = list(word)
-    scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-    while scores:
-        best = max(scores)
-        if best == none:
-            break
-        i = scores.index(best)
-        parts[i] += parts.pop(i + 1)
-        scores.pop(i)
-        if i < len(scores):
-            scores[i] = get(parts[i] + parts[i + 1], none)
-        if i:
-            scores[i - 1] = get(parts[i - 1] + parts[i], none)
-    return parts
+    def raw(self) -> list[bytes]:
+        """What each piece stands for in a text; nothing for control pieces."""
+        return [bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
 
 
 def _merged(word: str, model: PieceModel) -> list[tuple[int, int]]:
@@ -203,23 +169,205 @@ def _viterbi(word: str, model: PieceModel) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-class Kept:
-    """Ids of words seen of late: a full generation becomes the old one, and what is used of it moves on."""
-
-    def __init__(self, size: int = KEPT_WORDS):
-        self.size, self.young, self.old = size, {}, {}
+def gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of `sizes` values from `first` on, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)]
+
+
+def slots_of(key: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots where a key can stand; `half` is a power of two."""
+    h = (key ^ (key >> np.uint64(15))) * MIX
+    low = np.uint64(half - 1)
+    return ((h >> np.uint64(40)) & low).astype(np.int64), half + ((h >> np.uint64(16)) & low).astype(np.int64)
+
+
+def pair_slots(pairs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash table of two slots a key (cuckoo hashing): keys, and the rank and union of each."""
+    half = 1 << 12
+    while half < 4 * len(pairs):
+        half *= 2
+    keys, facts = np.full(2 * half, np.uint64(2**64 - 1)), np.zeros((2 * half, 2), np.int32)
+    one, other = (x.tolist() for x in slots_of(np.array([x[0] for x in pairs], np.uint64), half))
+    held: dict[int, int] = {}
+    for k in range(len(pairs)):
+        at, moved = one[k], 0
+        while at in held:
+            held[at], k = k, held[at]
+            at = other[k] if at == one[k] else one[k]
+            moved += 1
+            if moved > 500:
+                raise ValueError("no place for a pair of symbols")
+        held[at] = k
+    for at, k in held.items():
+        keys[at], facts[at] = pairs[k][0], pairs[k][1:]
+    return keys, facts
+
+
+class Folder:
+    """A model as arrays: where texts are cut, which symbols each character and each pair of symbols makes.
+
+    Symbols are the pieces, and the characters of pieces that are none themselves.
+    """
 
-    def get(self, word: str, model: PieceModel) -> np.ndarray:
-        ids = self.young.get(word)
-        if ids is None:
-            ids = self.old.get(word)
-            if ids is None:
-                ids = np.array(model.encode_word(word), np.int32)
-            if len(word) <= TABLE_CHARS:
-                if len(self.young) >= self.size:
-                    self.young, self.old = {}, self.young
-                self.young[word] = ids
-        return ids
+    def __init__(self, model: PieceModel):
+        self.model = model
+        spans = np.zeros((256, 256), bool)
+        spans[:, 0x80:0xC0] = True  # inside a character
+        names = list(model.ids)
+        symbol = {p: k for k, p in enumerate(names)}
+        for p in list(names):
+            raw = p.replace(MARK, " ").encode()
+            for a, b in zip(raw, raw[1:], strict=False):
+                spans[a, b] = True
+            for c in p:
+                if c not in symbol:
+                    symbol[c] = len(names)
+                    names.append(c)
+        self.spans = spans.reshape(-1)
+        self.ids = np.array([model.ids.get(p, -1) for p in names] or [-1], np.int32)
+        signs = {ord(" " if p == MARK else p): k for p, k in symbol.items() if len(p) == 1}
+        self.of_sign = np.full(max(signs, default=0) + 2, -1, np.int32)
+        self.of_sign[list(signs)] = list(signs.values())
+        self.size = np.uint64(len(names) + 1)
+        ranks = {s: k for k, s in enumerate(sorted({model.scores[i] for i in model.ids.values()}, reverse=True))}
+        pairs = sorted((symbol[p[:k]] * int(self.size) + symbol[p[k:]], ranks[model.scores[i]], symbol[p]) for p, i in model.ids.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol)
+        self.slots = pair_slots(pairs)
+        raw = model.raw()
+        self.raw = pa.array(raw, pa.large_binary())
+        self.raw_sizes = np.array([len(x) for x in raw], np.int64)
+        self.odd = np.array([t in (2, 6) for t in model.types])
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of the words of rows that stand one after another; empty rows have none."""
+        if not len(data):
+            return np.zeros(0, np.int64)
+        cut = np.ones(len(data), bool)
+        np.logical_not(self.spans[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]], out=cut[1:])
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(cut)
+
+    def _best(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair's union (NONE without one), and the union."""
+        keys, facts = self.slots
+        key = left.astype(np.uint64) * self.size + right.astype(np.uint64)  # symbols that are none fit no key
+        at = slots_of(key, len(keys) // 2)
+        at = np.where(keys[at[0]] == key, at[0], at[1])
+        found = facts[at]
+        return np.where((keys[at] == key) & (left >= 0) & (right >= 0), found[:, 0], NONE), found[:, 1]
+
+    def merge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol (-1: none), word and first byte of each part of the words, in order.
+
+        Each round does the best merge of every word that has one, the leftmost at ties.
+        """
+        first = np.flatnonzero((data & 0xC0) != 0x80)
+        b = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+        lead = b[first]
+        sign = np.where(lead < 0xC0, lead, np.where(lead < 0xE0, ((lead & 31) << 6) | (b[first + 1] & 63), np.where(lead < 0xF0, ((lead & 15) << 12) | ((b[first + 1] & 63) << 6) | (b[first + 2] & 63), ((lead & 7) << 18) | ((b[first + 1] & 63) << 12) | ((b[first + 2] & 63) << 6) | (b[first + 3] & 63))))
+        part = self.of_sign[np.minimum(sign, len(self.of_sign) - 1)]
+        begins = np.zeros(len(data), np.int32)
+        begins[offsets[:-1]] = 1
+        word, first = np.cumsum(begins, dtype=np.int32)[first] - np.int32(1), first.astype(np.int32)
+        rank, union = np.full(len(part), NONE), np.zeros(len(part), np.int32)
+        if len(part):
+            rank[:-1], union[:-1] = self._best(part[:-1], part[1:])
+            rank[:-1][word[1:] != word[:-1]] = NONE
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(part):
+            heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat(rank, heads)
+            live = best < NONE
+            sizes = np.diff(np.append(heads, len(part)))
+            of_live = np.repeat(live, sizes)
+            if not live.all():
+                over = ~of_live
+                done.append((part[over], word[over], first[over]))
+            if not live.any():
+                break
+            hit = np.flatnonzero(rank == np.repeat(np.where(live, best, -1), sizes))
+            at = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])]
+            part[at] = union[at]
+            of_live[at + 1] = False
+            place = np.cumsum(of_live) - 1
+            at = place[at]
+            part, word, first, rank, union = (x[of_live] for x in (part, word, first, rank, union))
+            for left in (at, at[at > 0] - 1):
+                right = np.minimum(left + 1, len(part) - 1)
+                new, into = self._best(part[left], part[right])
+                rank[left] = np.where((right > left) & (word[left] == word[right]), new, NONE)
+                union[left] = into
+        if not done:
+            return part, word, first
+        part, word, first = (np.concatenate([x[k] for x in done]) for k in range(3))
+        order = np.argsort(first, kind="stable")
+        return part[order], word[order], first[order]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words that stand one after another, and how many each has."""
+        model, n = self.model, len(offsets) - 1
+        alone = np.diff(offsets) > SIDE_BY_SIDE if model.model_type == BPE else np.ones(n, bool)
+        if alone.any():
+            lengths = np.diff(offsets)
+            ids, many = self.encode(data[np.repeat(~alone, lengths)], np.append(0, np.cumsum(lengths[~alone])))
+            long = [np.array(model.encode_word(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace").replace(" ", MARK)), np.int32) for k in np.flatnonzero(alone).tolist()]
+            sizes = np.zeros(n, np.int64)
+            sizes[~alone], sizes[alone] = many, [len(x) for x in long]
+            first = np.zeros(n, np.int64)
+            first[~alone], first[alone] = np.cumsum(many) - many, len(ids) + np.cumsum(sizes[alone]) - sizes[alone]
+            return gather(np.concatenate([ids, *long]), first, sizes), sizes
+        part, word, first = self.merge(data, offsets)
+        ids = np.where(part >= 0, self.ids[part], -1)
+        bare = np.flatnonzero(ids < 0)
+        each = np.ones(len(ids), np.int64)
+        instead = [np.array(model.fallback(data[first[k] : first[k + 1] if k + 1 < len(first) else len(data)].tobytes().decode("utf-8", "replace").replace(" ", MARK)), np.int32) for k in bare.tolist()]
+        each[bare] = [len(x) for x in instead]
+        flat = np.repeat(ids, each).astype(np.int32)
+        if len(bare):
+            flat[np.repeat(ids < 0, each)] = np.concatenate(instead)
+        return flat, np.bincount(word, weights=each, minlength=n).astype(np.int64)
+
+    def restores(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether decoding each word's ids gives the word back."""
+        lengths = self.raw_sizes[ids]
+        upto = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(sizes))]
+        back = bytes_of(self.raw.take(pa.array(ids)))[0]
+        if len(back) == len(data) and np.array_equal(upto, offsets) and np.array_equal(back, data):
+            return np.ones(len(sizes), bool)
+        return np.array([back[a:b].tobytes() == data[c:d].tobytes() for a, b, c, d in zip(upto, upto[1:], offsets, offsets[1:], strict=False)], bool)
+
+
+def prepared(text: pa.Array, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts as they are encoded: marks as spaces, a space before each text if the model has it so."""
+    text = pc.replace_substring(text.cast(pa.large_string()).fill_null(""), MARK, " ")
+    if model.dummy_prefix:
+        text = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(text), 0), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())), text, pa.scalar("", pa.large_string()))
+    return utf8(text)
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words as bytes, and the index of each word among them."""
+    bounds = np.append(starts, len(data)).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large binary column without nulls."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(words) else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+_FOLDER: dict[str, Folder] = {}
+
+
+def folder_of(model: PieceModel) -> Folder:
+    """The arrays of the model that was used last are kept."""
+    if "last" not in _FOLDER or _FOLDER["last"].model is not model:
+        _FOLDER["last"] = Folder(model)
+    return _FOLDER["last"]
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
@@ -239,17 +387,25 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     return words.join(edges, "word", "left").select("word", F.coalesce("edges", empty).alias("edges"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def fold_merges(edges: Column, length: Column) -> Column:
-    """Ends of the pieces of a BPE word: each step applies the best merge that joins exactly two neighbours."""
+    """Ends of the pieces of a BPE word: each step applies the best merge of two neighbours, the leftmost at ties."""
+    place = lambda a, b: a * F.lit(1 << 16) + b
+    scores = F.map_from_arrays(F.transform(edges, lambda e: place(e["a"], e["b"])), F.transform(edges, lambda e: -e["score"]))
+
+    def fold(score: Column) -> Column:
+        def step(cuts: Column, _: Column) -> Column:
+            inner = F.filter(F.sequence(F.lit(1), F.greatest(F.size(cuts) - 2, F.lit(1))), lambda i: i < F.size(cuts) - 1)
+            unions = F.transform(inner, lambda i: F.struct(F.try_element_at(score, place(F.get(cuts, i - 1), F.get(cuts, i + 1))).alias("s"), F.get(cuts, i).alias("cut")))
+            return _let(F.array_min(F.filter(unions, lambda u: u["s"].isNotNull())), lambda best: F.when(best.isNull(), cuts).otherwise(F.array_remove(cuts, best["cut"])))
 
-    def step(ends: Column, _: Column) -> Column:
-        # the starts are 0 and every end; an edge joins two neighbours if it spans exactly one end
-        fits = lambda e: ((e["a"] == 0) | F.array_contains(ends, e["a"])) & F.array_contains(ends, e["b"]) & (F.size(F.filter(ends, lambda x: (x > e["a"]) & (x < e["b"]))) == 1)
-        ranked = F.transform(F.filter(edges, fits), lambda e: F.struct((-e["score"]).alias("s"), e["a"].alias("a"), e["b"].alias("b")))
-        best = F.array_min(ranked)
-        return F.when(best.isNull(), ends).otherwise(F.filter(ends, lambda x: (x <= best["a"]) | (x >= best["b"])))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), F.sequence(F.lit(0), length), step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), F.sequence(F.lit(1), length), step)
+    return F.slice(_let(scores, fold), 2, length)
 
 
 def fold_viterbi(edges: Column, length: Column, unknown: float) -> Column:
@@ -277,94 +433,113 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     return graph.withColumn("ends", ends).select("word", F.transform("ends", lambda end, i: F.coalesce(F.get(F.transform(F.filter("edges", lambda e: (e["b"] == end) & (e["a"] == F.when(i == 0, 0).otherwise(F.get(F.col("ends"), i - 1)))), lambda e: e["id"]), 0), F.lit(-1))).alias("ids"), "ends")
 
 
-def word_counts(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """word and n over all texts; each task adds up its slices first."""
-
-    def count(batches):
-        for rows, _, _ in slices(batches, limit=2 << 20):
-            words: list[str] = []
-            for text in rows.column(rows.schema.get_field_index("text")).to_pylist():
-                if text:
-                    words += WORD.findall(model.prepared(text))
-            counted = pa.array(words, pa.string()).value_counts()
-            yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def frequent_words(docs: DataFrame, model: PieceModel, share: float = TABLE_SHARE) -> DataFrame:
+    """The words that make up at least `share` of all words: at most 1 / share rows, and more by no order of rows.
 
+    A slice tells of the words with that share in it; their counts add up to no
+    more than the truth, so a word may be missed near the border, never added.
+    """
 
-def encode(docs: DataFrame, model: PieceModel, keep: list[str] | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
+    def count(batches):
+        folder = held.value
+        for rows, _, _ in slices(batches, limit=SLICE):
+            data, offsets = prepared(rows.column(0), folder.model)
+            starts = folder.words(data, offsets)
+            if not len(starts):
+                continue
+            distinct, codes = word_codes(data, starts)
+            n = np.bincount(codes, minlength=len(distinct))
+            some = np.flatnonzero(n >= share * len(codes))
+            words = distinct.take(pa.array(some)).cast(pa.large_string()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(1, pa.string())]), pa.array(np.append(n[some], len(codes)))], names=["word", "n"])
+
+    held = docs.sparkSession.sparkContext.broadcast(folder_of(model))
+    counted = save(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counted")
+    total = counted.filter("word IS NULL").first()
+    return counted.filter(F.col("word").isNotNull() & (F.col("n") >= share * (total["n"] if total else 0))).select(F.replace("word", F.lit(" "), F.lit(MARK)).alias("word"))
+
+
+def encode(docs: DataFrame, model: PieceModel, keep: list[str] | None = None, share: float = TABLE_SHARE) -> DataFrame:
     """Columns `keep` (doc_id alone by default), ids, n_fallback (ids of bytes or unknown) and exact (decoding gives the text back).
 
     Null texts have null ids and exact null, empty texts no ids. Row by row, so
-    repeated rows and null ids stay. A text is taken whole, however long.
+    repeated rows and null ids stay. A text is taken whole, however long. A text
+    with the mark sign itself is not exact, since that decodes to a space.
     """
     keep = keep or ["doc_id"]
-    short = word_counts(docs, model).filter(F.length("word") <= TABLE_CHARS)
-    head = short.orderBy(F.desc("n"), "word").limit(table_words).select("word")
-    table = {}
-    for r in encode_words(head, model).collect():  # at most `table_words` short words
+    head = save(frequent_words(docs, model, share).filter(F.length("word") <= TABLE_CHARS), "frequent")
+    words, own = [], []
+    for r in encode_words(head, model).collect():  # at most 1 / share short words
         ids, a = [], 0
         for end, i in zip(r["ends"], r["ids"], strict=True):
             ids += [i] if i >= 0 else model.fallback(r["word"][a:end])
             a = end
-        table[r["word"]] = np.array(ids, np.int32)
-    held = docs.sparkSession.sparkContext.broadcast((model, table, Kept()))
+        words.append(r["word"].replace(MARK, " ").encode())
+        own.append(ids)
+    table = (pa.array(words, pa.large_binary()), np.array([i for ids in own for i in ids], np.int32), np.array([len(ids) for ids in own], np.int64))
+    held = docs.sparkSession.sparkContext.broadcast((folder_of(model), table))
 
     def run(batches):
-        model, table, kept = held.value  # a worker has one copy, so what it keeps lasts from task to task
-        raw = [bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else p.replace(MARK, " ").encode() for i, (p, t) in enumerate(zip(model.pieces, model.types, strict=True))]
-        odd = np.array([t in (2, 6) for t in model.types])
-        for rows, _, _ in slices(batches, limit=2 << 20):
-            texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
-            words: list[str] = []
-            counts = np.zeros(len(texts), np.int64)
-            for k, text in enumerate(texts):
-                if text:
-                    found = WORD.findall(model.prepared(text))
-                    counts[k] = len(found)
-                    words += found
-            codes = pa.array(words, pa.string()).dictionary_encode()
-            del words
-            own = []
-            for word in codes.dictionary.to_pylist():
-                ids = table.get(word)
-                if ids is None:
-                    ids = kept.get(word, model)
-                own.append(ids)
-            sizes = np.array([len(x) for x in own], np.int64)
-            flat = np.concatenate(own) if own else np.zeros(0, np.int32)
+        folder, (known, known_ids, known_sizes) = held.value
+        model = folder.model
+        for rows, _, _ in slices(batches, limit=SLICE):
+            text = rows.column(rows.schema.get_field_index("text"))
+            data, offsets = prepared(text, model)
+            starts = folder.words(data, offsets)
+            distinct, codes = word_codes(data, starts)
+            upto = np.searchsorted(starts, offsets)  # words before each row
+            at = pc.index_in(distinct, value_set=known).to_numpy(zero_copy_only=False) if len(known) else np.full(len(distinct), np.nan)
+            rare = np.flatnonzero(np.isnan(at))
+            rest_ids, rest_sizes = folder.encode(*bytes_of(distinct.take(pa.array(rare))))
+            place = np.nan_to_num(at).astype(np.int64)
+            place[rare] = len(known) + np.arange(len(rare))
+            flat, sizes = np.concatenate([known_ids, rest_ids]), np.concatenate([known_sizes, rest_sizes])
+            first = (np.cumsum(sizes) - sizes)[place]
+            sizes = sizes[place]
+            own = gather(flat, first, sizes)  # ids of the distinct words
             first = np.cumsum(sizes) - sizes
-            at = codes.indices.to_numpy()
-            n = sizes[at]
-            gather = np.arange(int(n.sum())) + np.repeat(first[at] - (np.cumsum(n) - n), n)
-            ids = flat[gather]
-            upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-            strange = np.concatenate([[0], np.cumsum(odd[ids])])
-            exact = []
-            for k, text in enumerate(texts):
-                if text is None:
-                    exact.append(None)
-                else:
-                    back = b"".join([raw[i] for i in ids[upto[k] : upto[k + 1]].tolist()])
-                    exact.append(back == (b" " if model.dummy_prefix and text else b"") + text.encode())
-            lists = list_array(pa.array(ids), np.diff(upto))
-            if None in exact:
-                lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids), mask=pa.array([x is None for x in exact]))
+            lost = ~folder.restores(own, sizes, *bytes_of(distinct))
+            strange = np.add.reduceat(np.append(folder.odd[own], 0).astype(np.int64), first) if len(sizes) else sizes
+            del data, distinct
+            n = sizes[codes]
+            ends = np.append(0, np.cumsum(n))
+            ids = gather(own, first[codes], n)
+            total = lambda x: np.diff(np.append(0, np.cumsum(x[codes]))[upto])  # noqa: B023, E731
+            absent = np.asarray(text.is_null())
+            marked = np.asarray(pc.fill_null(pc.match_substring(text, MARK), False))
+            exact = pa.array((total(lost.astype(np.int64)) == 0) & ~marked, mask=absent)
+            lists = list_array(pa.array(ids), np.diff(ends[upto]))
+            if absent.any():
+                lists = pa.ListArray.from_arrays(pa.array(ends[upto].astype(np.int32)), pa.array(ids), mask=pa.array(absent))
             columns = [rows.column(rows.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(strange[upto[1:]] - strange[upto[:-1]]), pa.array(exact, pa.bool_())], names=[*keep, "ids", "n_fallback", "exact"])
+            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(total(strange)), exact], names=[*keep, "ids", "n_fallback", "exact"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>, n_fallback bigint, exact boolean"
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: PieceModel, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (doc_id alone by default) and the text of `ids`; null ids give null."""
+    """Columns `keep` (doc_id alone by default) and the text of `ids`.
+
+    Null ids give null, no ids an empty text; control pieces are dropped, runs of
+    bytes that are no characters replaced. Row by row; an empty table stays empty.
+    """
     keep = keep or ["doc_id"]
-    held = encoded.sparkSession.sparkContext.broadcast(model)
+    held = encoded.sparkSession.sparkContext.broadcast(folder_of(model))
+
+    def text_of(raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace")
+        return text[1:] if held.value.model.dummy_prefix and text[:1] == " " else text
 
     def run(batches):
+        folder = held.value
         for rows in batches:
-            texts = [None if x is None else held.value.decode(x) for x in rows.column(rows.schema.get_field_index("ids")).to_pylist()]
+            ids = rows.column(rows.schema.get_field_index("ids"))
+            flat = ids.flatten()
+            many = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(folder.raw_sizes[flat.to_numpy()]))[np.append(0, np.cumsum(many))]
+            whole = bytes_of(folder.raw.take(flat))[0].tobytes()
+            texts = [None if gone else text_of(whole[a:b]) for gone, a, b in zip(ids.is_null().to_pylist(), ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep) + ", text string"

@@ -169,23 +169,43 @@ def test_viterbi_fold_is_optimal(spark):
         assert total(TINY.encode_word(w), TINY) == pytest.approx(best_score(w, TINY))
 
 
-def test_encoding_equals_the_library_and_decodes(spark):
+@pytest.mark.parametrize("share", [1e-5, 0.01, 2.0])
+def test_encoding_equals_the_library_and_decodes(spark, share):
     import sentencepiece
 
     path = queries.MODEL_PATH
     library = sentencepiece.SentencePieceProcessor(model_file=path.removeprefix("file://"))
     model = pieces.PieceModel.load(spark, path)
-    docs = AWKWARD + [(i + 1000, t) for i, t in variants(4)[:20]] + [(500, "  two  spaces\n\ttab ☃ 漢字 🎉"), (501, "a" * 3000)]
-    got = pieces.encode(frame(spark, docs), model, table_words=50).collect()
+    docs = AWKWARD + [(i + 1000, t) for i, t in variants(4)[:20]] + [(500, "  two  spaces\n\ttab ☃ 漢字 🎉"), (501, "a" * 3000), (502, "  "), (503, "Ünïcödé " * 30 + "https://example.org/" + "aaab" * 40)]
+    got = pieces.encode(frame(spark, docs), model, share=share).collect()
     by_id = {}
     for r in got:
         by_id.setdefault(r["doc_id"], []).append(r)
     for d, t in docs:
         for r in by_id[d]:
             assert r["ids"] == (None if t is None else library.encode(t)) and r["exact"] is (None if t is None else True)
-    back = pieces.decode(pieces.encode(frame(spark, docs), model, table_words=50), model).collect()
+    back = pieces.decode(pieces.encode(frame(spark, docs), model, share=share), model).collect()
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in back))) == sorted(map(str, docs))
-    assert pieces.encode(frame(spark, []), model).count() == 0
+    assert pieces.encode(frame(spark, []), model).count() == pieces.decode(pieces.encode(frame(spark, []), model), model).count() == 0
+
+
+def test_real_words_fold_alike_in_tables_and_arrays(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_PATH.removeprefix("file://"))
+    model = pieces.PieceModel.load(spark, queries.MODEL_PATH)
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL").collect()]
+    want = [library.encode(t) for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for share in (1e-4, 2.0):  # at 2.0 no word is frequent
+        got = {r["doc_id"]: r["ids"] for r in pieces.encode(docs, model, share=share).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_mark_sign_in_a_text_is_not_exact(spark):
+    model = pieces.PieceModel.load(spark, queries.MODEL_PATH)
+    got = {r["doc_id"]: r["exact"] for r in pieces.encode(frame(spark, [(1, "a▁b"), (2, "a b"), (3, None)]), model).collect()}
+    assert got == {1: False, 2: True, 3: None}
 
 
 # decontamination
