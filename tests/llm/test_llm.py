@@ -470,11 +470,20 @@ def test_neighbours_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [3.0, 4.0]), (7, [3.0, 4.0]), (None, [1.0, 1.0]), (8, [1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("bucket", F.lit(0))
-    got = [(r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, "vec_id = 0", probes=9, tables=8, width=20.0).orderBy("rank").collect()]
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, "vec_id = 0").orderBy("rank").collect()]
     assert got == [(1, 7, 3.0), (2, 1, 1.0), (3, 2, 1.0)]
     assert neighbours.nearest(df.filter("false"), "vec_id = 0").count() == 0
 
 
+def test_neighbours_of_one_hot_id_and_of_other_lengths(spark):
+    rows = [(20, [1.0, 0.0])] + [(99, [1.0, 0.01 * i]) for i in range(60)] + [(i, [1.0 - 0.01 * i, 1.0]) for i in range(100, 132)]
+    rows += [(200, [1.0, 0.0, 0.0]), (201, [0.5, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = neighbours.nearest(df, "vec_id % 20 = 0").collect()
+    by = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (20, 200)}
+    assert by[20] == [99, *range(100, 119)] and by[200] == [201]
+
+
 def brute_neighbours(rows, asked, k=20):
     """Ids of each query id, by the best score over the rows of both."""
     ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(np.float64)
