@@ -37,7 +37,7 @@ TABLES = 2
 #: Vectors that a bucket is meant to hold, and how many buckets a projection is taken to make.
 BUCKET, SLOTS = 8192, 6
 #: Fitting: rows searched exactly, rows whose buckets are counted, recall aimed at, widths tried, most probes of a table.
-FIT_QUERIES, FIT_VECTORS, FIT_RECALL, WIDTHS, MOST_PROBES = 48, 2048, 0.95, (0.75, 1.0, 1.5, 2.0, 3.0, 8.0), 64
+FIT_QUERIES, FIT_VECTORS, FIT_RECALL, WIDTHS, MOST_PROBES = 128, 2048, 0.99, (0.75, 1.0, 1.5, 2.0, 3.0, 8.0), 64
 #: Vectors and queries of one bucket that meet in one task; larger buckets are cut, and all pairs of cuts are visited.
 VECTORS_AT_ONCE, QUERIES_AT_ONCE = 2048, 1024
 #: The first round visits so many buckets of each table; each round takes so many times the cuts of the one before.
@@ -154,7 +154,7 @@ def fit(rows: DataFrame, n: int, tops: np.ndarray, alone: np.ndarray, d: int, k:
 
             reach = np.minimum(reach, probe_of(near, who))
             pick = np.arange(min(len(some), FIT_VECTORS))
-            seen.append(np.concatenate([probe_of(some[pick], np.full(len(pick), i)) for i in range(0, len(asked), 6)]))
+            seen.append(np.concatenate([probe_of(some[pick], np.full(len(pick), i)) for i in range(0, len(asked), 16)]))
         share = np.searchsorted(np.sort(reach), np.arange(1, min(len(steps), MOST_PROBES) + 1)) / len(reach)
         enough = np.flatnonzero(share >= recall)
         probes = int(enough[0]) + 1 if len(enough) else len(share)
