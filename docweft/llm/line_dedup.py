@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parallelism, save
+from ._common import parallelism, save, spare
 
 #: Shorter lines go only if an equal line stands earlier.
 NEAR_CHARS = 20
@@ -93,9 +93,10 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     open_lines = keys.join(shared, "half").select("ord").distinct()
     places = open_lines.groupBy("ord.dk").agg(F.collect_set("ord").alias("ords"))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("dk"), "text").join(places, "dk")
-    cut = texts.select("ords", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("ord", F.get(F.filter("ords", lambda o: o["pos"] == F.col("pos")), 0)).filter("ord IS NOT NULL")
+    picked = _let(F.split("text", "\n", -1), lambda x: F.transform("ords", lambda o: F.struct(o.alias("ord"), F.get(x, o["pos"]).alias("line"))))
+    cut = texts.select(F.explode(picked).alias("x")).select("x.ord", "x.line")
     # numbered in their order, so that all that follows compares one number
-    texts = save(cut.select("ord", "line").dropDuplicates(["ord"]).orderBy("ord").withColumn("lid", F.monotonically_increasing_id()), "open")
+    texts = save(cut.dropDuplicates(["ord"]).orderBy("ord").withColumn("lid", F.monotonically_increasing_id()), "open")
 
     parts = parallelism(docs.sparkSession)
     rows = texts.repartition(parts, "lid").select("lid", F.explode(_variants(F.col("line"))).alias("v")).select("lid", "v.key", "v.at").repartition(parts, "key")
@@ -115,9 +116,18 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     return base.filter("coalesce(pos, 0) = 0").select("doc_id", "dk", "n_lines").join(removed, "dk", "left").select("doc_id", "dk", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
+def without(lines: Column, places: Column) -> Column:
+    """The lines but those at the (ascending, 0-based) places: what stands between two of them, in time linear in the lines."""
+    size = F.size(places)
+    start = lambda j: F.when(j == 0, 0).otherwise(F.get(places, j - 1) + 1)
+    end = lambda j: F.when(j == size, F.size(lines)).otherwise(F.get(places, j))
+    return F.flatten(F.transform(F.sequence(F.lit(0), size), lambda j: F.slice(lines, start(j) + 1, end(j) - start(j))))
+
+
 def drop_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """The documents with their duplicate lines dropped; rows stay, all other columns as they are."""
-    found = duplicate_lines(docs, near_chars).filter(F.size("removed") > 0).select(F.col("dk").alias("__dk"), F.col("removed").alias("__removed")).dropDuplicates(["__dk"])
-    joined = docs.withColumn("__dk", F.xxhash64("doc_id", "text")).join(found, "__dk", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents with their duplicate lines dropped; rows stay, all other columns as they are, whatever their names."""
+    dk, gone = spare(docs, "dk"), spare(docs, "removed")
+    found = duplicate_lines(docs, near_chars).filter(F.size("removed") > 0).select(F.col("dk").alias(dk), F.col("removed").alias(gone)).dropDuplicates([dk])
+    joined = docs.withColumn(dk, F.xxhash64("doc_id", "text")).join(found, dk, "left")
+    kept = _let(F.split("text", "\n", -1), lambda x: F.array_join(without(x, F.col(gone)), "\n"))
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
