@@ -4,8 +4,9 @@ Every byte that a `length`-byte string covers which also starts earlier goes.
 
 1. Each window of `length` bytes picks the k-gram of smallest hash in it; equal
    windows pick equal k-grams at equal places. Neighbouring windows with one
-   choice form an occurrence (k-gram, stretch of text). Equal stretches are
-   settled by hash at once: inside a slice before the shuffle, then per k-gram.
+   choice form an occurrence (k-gram, stretch of text). Equal stretches (by 128
+   bits: the hashes of k-gram and stretch) are settled at once: inside a slice
+   before the shuffle, then per k-gram, one group of k-grams after another.
 2. Stretches that share a k-gram but are not equal are cut out of the texts and
    gathered per k-gram into small blocks. A block gets a suffix order (on the
    first bytes only), its Burrows-Wheeler transform, and a breadth-first search
@@ -33,6 +34,8 @@ LENGTH = 100
 GRAM = 32
 #: Window starts handled at once; bytes of a block; stretches of one k-gram that may share a block.
 STEP, BLOCK_BYTES, MOST_STRETCHES = 1 << 19, 1 << 20, 2000
+#: Groups of k-grams that a task settles one after another.
+GROUPS = 4
 #: One text in so many is sampled for frequent k-grams; a share of this much is frequent (so at most 1/share are).
 SAMPLE_OF, FREQUENT = 64, 1e-4
 POSITION = np.uint64((1 << 21) - 1)
@@ -82,12 +85,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return {"row": row, "a": joined["at"] - offsets[row], "n": joined["n"], "m": joined["m"], "c": joined["c"]}
 
 
-def firsts(group: np.ndarray, doc: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by group, document rank and place: the order, and which of it starts earlier than nothing equal."""
-    order = np.lexsort((a, doc, group))
-    g, d, p = group[order], doc[order], a[order]
-    new = np.ones(len(g), bool)
-    new[1:] = g[1:] != g[:-1]
+def firsts(groups: list[np.ndarray], doc: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by group (equal values in all of `groups`), document rank and place: the order, and which of it starts earlier than nothing equal."""
+    order = np.lexsort((a, doc, *groups))
+    d, p = doc[order], a[order]
+    new = np.ones(len(d), bool)
+    new[1:] = False
+    for g in groups:
+        new[1:] |= g[order[1:]] != g[order[:-1]]
     head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
     return order, (d == d[head]) & (p == p[head])
 
@@ -241,8 +246,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Documents without any are left out, as are those with a null doc_id or text.
     """
     spark = docs.sparkSession
-    parts = parallelism(spark)
+    workers = parallelism(spark)
+    parts = workers * GROUPS
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    repeated = save(texts.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "th"), "repeated")
+    if not repeated.isEmpty():  # one row of each, so that a text meets its stretches once
+        once = texts.join(repeated, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+        texts = save(texts.join(repeated, ["doc_id", "th"], "left_anti").unionByName(once), "once")
     frequent = spark.sparkContext.broadcast(_frequent(texts, length))
 
     def gather(batches):
@@ -254,7 +264,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ids, hashes = _column(rows, "doc_id"), _column(rows, "th")
             rank, one = doc_ranks(ids, hashes)
             doc = rank[x["row"]]
-            order, head = firsts(finish(x["m"] + x["c"] * MIX), doc, x["a"])
+            order, head = firsts([x["m"], x["c"]], doc, x["a"])
             later = order[~head]
             marks = marks_of(ids[one], hashes[one], doc[later], x["a"][later], x["a"][later] + x["n"][later] + length - 1, parts)
             if marks is not None:
@@ -273,20 +283,26 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield rows_of(len(some), part=pa.array(some), blob=pa.array([pack(kept[by[cuts[p] : cuts[p + 1]]]) for p in some], pa.binary()))
 
     def settle(batches):
-        often = frequent.value
-        held = []
+        held, last = [], None
         for rows in batches:
+            part = _column(rows, "part")
             blobs = rows.column(rows.schema.get_field_index("blob"))
             is_mark = np.asarray(blobs.is_null())
-            held += [unpack(blobs[int(i)].as_py()) for i in np.flatnonzero(~is_mark)]
+            for i in np.flatnonzero(~is_mark):  # in order of part
+                if held and part[i] != last:
+                    yield from settled(np.concatenate(held))
+                    held = []
+                held.append(unpack(blobs[int(i)].as_py()))
+                last = part[i]
             if is_mark.any():
                 yield rows.filter(pa.array(is_mark))
-        if not held:
-            return
-        x = np.concatenate(held)
-        del held
+        if held:
+            yield from settled(np.concatenate(held))
+
+    def settled(x):
+        often = frequent.value
         rank, one = doc_ranks(x["doc"], x["th"])
-        order, head = firsts(finish(x["m"] + x["c"] * MIX), rank, x["a"].astype(np.int64))
+        order, head = firsts([x["m"], x["c"]], rank, x["a"].astype(np.int64))
         later = order[~head]
         marks = marks_of(x["doc"][one], x["th"][one], rank[later], x["a"][later].astype(np.int64), x["a"][later].astype(np.int64) + x["n"][later] + length - 1, parts)
         if marks is not None:
@@ -306,7 +322,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             y = x[s : s + 100_000]
             yield rows_of(len(y), doc_id=pa.array(y["doc"]), th=pa.array(y["th"]), m=pa.array(y["m"].view(np.int64)), a=pa.array(y["a"]), n=pa.array(y["n"]), hot=pa.array(hot[s : s + 100_000]))
 
-    found = save(texts.mapInArrow(gather, ROWS_DDL).repartition(parts, "part").mapInArrow(settle, ROWS_DDL).drop("part", "blob"), "stretches")
+    found = save(texts.mapInArrow(gather, ROWS_DDL).repartition(workers, "part").sortWithinPartitions("part").mapInArrow(settle, ROWS_DDL).drop("part", "blob"), "stretches")
 
     def expand(batches):
         held, size, last = [], 0, None
@@ -341,7 +357,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ids, hashes = get("doc_id"), get("th")
         rank, one = doc_ranks(ids, hashes)
         at = get("a")[which] + off
-        order, head = firsts(group, rank[which], at)
+        order, head = firsts([group], rank[which], at)
         later = order[~head]
         marks = marks_of(ids[one], hashes[one], rank[which[later]], at[later], at[later] + length, parts)
         if marks is not None:
@@ -349,7 +365,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     cut = found.filter("m IS NOT NULL").join(texts, ["doc_id", "th"]).select("doc_id", "th", "m", "a", "n", "hot", F.expr(f"substring(cast(text AS binary), CAST(a + 1 AS INT), CAST(n + {length - 1} AS INT))").alias("context"))
     marks_ddl = "doc_id bigint, th bigint, starts array<bigint>, ends array<bigint>"
-    near = cut.filter("NOT hot").repartition(parts, "m").sortWithinPartitions("m").mapInArrow(expand, marks_ddl)
+    near = cut.filter("NOT hot").repartition(workers, "m").sortWithinPartitions("m").mapInArrow(expand, marks_ddl)
 
     windows = cut.filter("hot").select("doc_id", "th", "a", "context", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("off"))
     window = F.expr(f"substring(context, CAST(off + 1 AS INT), {length})")

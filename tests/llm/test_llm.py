@@ -121,6 +121,14 @@ def test_repeats_match_brute_force(spark, docs):
     assert sorted((tuple(r) for r in got), key=str) == brute_repeats(docs, 100)
 
 
+def test_many_repeats_of_one_row_take_linear_time(spark):
+    r = random.Random(8)
+    text = " ".join(str(r.randrange(10**6)) for _ in range(600)) + " shared " * 40
+    docs = [(1, text)] * 400 + [(2, text), (3, "x" + text), (None, text)]
+    got = suffix_dedup.remove_repeats(frame(spark, docs)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(docs, 100)
+
+
 def test_frequent_grams_take_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST_STRETCHES", 2)
     docs = variants(3)
@@ -360,6 +368,14 @@ def test_lines_match_brute_force(spark, docs):
     assert line_dedup.drop_lines(frame(spark, docs)).count() == len(docs)
 
 
+def test_lines_of_a_very_long_document(spark):
+    r = random.Random(12)
+    lines = [hashlib.md5(str(i % 40_000).encode()).hexdigest() for i in range(60_000)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(f"{x}{r.choice('ab')}" for x in lines[:3000])), (3, None)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.drop_lines(frame(spark, docs).withColumn("dk", F.lit(0)).withColumn("removed", F.lit(0))).collect()}
+    assert got[1].split("\n") == lines[:40_000] and got[2] == "" and got[3] is None
+
+
 @pytest.mark.parametrize("longer_first", [False, True])
 def test_lines_with_another_last_character(spark, longer_first):
     r = random.Random(11)
