@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once inside a Python task; one longer document forms a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x5851F42D4C957F2D | 1

@@ -259,15 +259,29 @@ def test_language_accuracy_on_held_out_rows(spark):
 
 
 def test_language_edges(spark):
-    train = spark.createDataFrame([("en", "the house of the and that with"), ("de", "das haus und der die nicht mit"), (None, "x"), ("en", None)], "lang string, text string")
+    train = spark.createDataFrame([("en", "the house of the and that with"), ("de", "der haus und der die nicht mit"), (None, "x"), ("en", None)], "lang string, text string")
     model = language.fit(train.withColumn("code", F.lit(1)))
     assert model.languages == ("de", "en")
     got = [(r["doc_id"], r["lang_pred"]) for r in language.detect(frame(spark, [(1, "the house that"), (2, None), (3, "12 34 !"), (4, "und das haus"), (None, "nicht mit der")]), model).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(1, "en"), (2, "und"), (3, "und"), (4, "de"), (None, "de")]))
+    short = [(r["doc_id"], r["lang_pred"]) for r in language.detect(frame(spark, [(1, "Der;"), (2, "The!")]), model).collect()]
+    assert sorted(short) == [(1, "de"), (2, "en")]
     empty = language.fit(train.filter("false"))
     assert [r["lang_pred"] for r in language.detect(frame(spark, [(1, "abc")]), empty).collect()] == ["und"]
 
 
+def test_forty_languages_and_copies(spark):
+    r = random.Random(14)
+    spoken = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(30)] for k in range(40)}
+    say = lambda k: " ".join(r.choice(spoken[k]) for _ in range(40))
+    rows = [(k, say(k)) for k in spoken for _ in range(5)] + [("l00", "copy " * 30)] * 500
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.table.shape[0] == 2
+    asked = [(i, say(k)) for i, k in enumerate(spoken)]
+    got = {x["doc_id"]: x["lang_pred"] for x in language.detect(frame(spark, asked), model).collect()}
+    assert [got[i] for i in range(40)] == list(spoken)
+
+
 # licences
 
 
@@ -559,9 +573,10 @@ def test_query_matches_sql(spark, name):
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("start", F.lit(1))
-    awkward = spark.createDataFrame([(900001, None, "en", "x"), (900002, "", "en", "x"), (None, "The and of that with.", "en", "x")], "doc_id bigint, text string, lang string, source string").withColumn("n_chars", F.lit(0).cast("bigint")).withColumn("start", F.lit(1))
-    docs = docs.unionByName(awkward)
+    clash = lambda df: df.withColumns({c: F.lit(1) for c in ("start", "tk", "own_id", "dk", "removed", "score", "lang_pred")})
+    docs = clash(spark.read.parquet(f"{SF}/documents.parquet"))
+    awkward = spark.createDataFrame([(900001, None, "en", "x"), (900002, "", "en", "x"), (None, "The and of that with.", "en", "x")], "doc_id bigint, text string, lang string, source string").withColumn("n_chars", F.lit(0).cast("bigint"))
+    docs = docs.unionByName(clash(awkward))
     counts = []
     for name, stage in corpus_pipeline.STAGES:
         out = save(stage(spark, docs, SF), name)
