@@ -9,26 +9,39 @@ it has no language.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm import decontaminate, jaccard, language, line_dedup, pieces
-from docweft.llm._common import save
+from docweft.llm._common import save, spare
 from docweft.llm.queries import MODEL_PATH
 
-#: Share of n-grams that must fit a language; prose of a learned language is far above.
-LEAST_SCORE = 0.2
+#: Share of n-grams that must fit a language (prose of a learned language is far above), and from how many n-grams on that counts against a text.
+LEAST_SCORE, LEAST_GRAMS = 0.2, 20
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; learned from labelled rows, with the labels' own split."""
+    """Documents in a learned language; learned from labelled rows, with the labels' own split.
+
+    Texts that are null or have no letter go, and those of some length that fit no
+    language; a text of a word or two stays. Repeated rows share their fate.
+    """
     trained = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    found = language.detect(docs, language.fit(trained), docs.columns)
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score, grams = spare(docs, "lang_pred"), spare(docs, "score"), spare(docs, "n_grams")
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # no column can clash with the detector's
+    found = language.detect(docs.toDF(*names), language.fit(trained), names).toDF(*docs.columns, lang, score, grams)
+    return found.filter((F.col(lang) != language.UNDETERMINED) & ((F.col(score) >= LEAST_SCORE) | (F.col(grams) < LEAST_GRAMS))).select(*_columns(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier; those left blank go, n_chars follows the text."""
+    """Documents without the lines that stand earlier; those left blank or null go, n_chars follows the text.
+
+    Rows that repeat a document (id and text) are one document: all keep the same lines.
+    """
     kept = line_dedup.drop_lines(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -36,21 +49,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the smallest doc_id."""
-    found = jaccard.join_classes(docs).filter("first_of_class").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct()
-    keyed = docs.withColumn("__tk", F.xxhash64("text")).alias("d")
-    kept = keyed.join(found.alias("k"), (F.col("d.__tk") == F.col("k.__tk")) & F.col("d.doc_id").eqNullSafe(F.col("k.__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__tk"]).select(*docs.columns)
+    """One document of each class: the smallest doc_id, one row of it if rows repeat.
+
+    Rows that share an id but not the text are documents of their own. Null, empty
+    and wordless texts are classes of their own.
+    """
+    tk, own = spare(docs, "tk"), spare(docs, "own_id")
+    found = jaccard.join_classes(docs).filter("first_of_class").select(F.col("doc_id").alias(own), F.col("tk").alias(tk)).distinct()
+    keyed = docs.withColumn(tk, F.xxhash64("text")).alias("d")
+    kept = keyed.join(found.alias("k"), (F.col(f"d.{tk}") == F.col(f"k.{tk}")) & F.col("d.doc_id").eqNullSafe(F.col(f"k.{own}")), "left_semi")
+    return kept.dropDuplicates(["doc_id", tk]).select(*_columns(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("tk")))
-    found = decontaminate.decontaminate(keyed.select(F.col("__key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter("contaminated").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.tk").alias("__tk")).distinct()
-    bad = save(bad, "contaminated")
-    keyed = docs.withColumn("__tk", F.xxhash64("text")).alias("d")
-    return keyed.join(bad.alias("b"), (F.col("d.__tk") == F.col("b.__tk")) & F.col("d.doc_id").eqNullSafe(F.col("b.__id")), "left_anti").select(*docs.columns)
+    """Documents without a window of a benchmark item; repeated rows share their fate, null texts stay."""
+    tk, own = spare(docs, "tk"), spare(docs, "own_id")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("tk")).alias("doc_id"), "text")
+    found = decontaminate.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = save(found.filter("contaminated").select(F.col("doc_id.doc_id").alias(own), F.col("doc_id.tk").alias(tk)).distinct(), "contaminated")
+    keyed = docs.withColumn(tk, F.xxhash64("text")).alias("d")
+    return keyed.join(bad.alias("b"), (F.col(f"d.{tk}") == F.col(f"b.{tk}")) & F.col("d.doc_id").eqNullSafe(F.col(f"b.{own}")), "left_anti").select(*_columns(docs))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
