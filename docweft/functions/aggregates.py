@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import _pred, fmt_type, last_wins
-from .values import elements, field_of, is_numeric, let, num, numbers, verb
+from .values import elements, field_of, is_numeric, lenient, let, num, numbers, verb
 
 
 def total(values: Column) -> Column:
@@ -92,7 +92,7 @@ def _matching(ctx, array, name, op, value, other) -> Column:
     values, test = _pred(ctx, array, name, op, value, coercing=True)
     field = str(ctx.value(other if other is not None else name))
     t = elements(ctx, array)[1]
-    return F.transform(F.filter(values, test), lambda x: field_of(x, t, field)[0].try_cast("double"))
+    return F.transform(F.filter(values, test), lambda x: lenient(*field_of(x, t, field)))
 
 
 @verb("sumIf")
@@ -102,7 +102,7 @@ def sum_if(ctx, array, name, op, value, other=None):
 
 @verb("avgIf")
 def avg_if(ctx, array, name, op, value, other=None):
-    return mean(present(_matching(ctx, array, name, op, value, other)))
+    return mean(_matching(ctx, array, name, op, value, other))
 
 
 @verb("accumulate")

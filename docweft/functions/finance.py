@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import elements, finite, num, verb
+from .values import elements, finite, let, num, verb
 
 
 def _numbers(ctx, array) -> Column:
@@ -56,18 +56,23 @@ def newton(value, slope, start: Column, steps: int = 100, small: float = 1e-7) -
 
     def step(state, _):
         x = state["x"]
-        dx = F.try_divide(value(x), slope(x))
-        return F.when(state["done"] | dx.isNull(), F.struct(x.alias("x"), F.lit(True).alias("done"))).otherwise(F.struct((x - dx).alias("x"), (F.abs(dx) < small).alias("done")))
+        stay = F.struct(x.alias("x"), F.lit(True).alias("done"))
+        moved = let(F.try_divide(value(x), slope(x)), lambda dx: F.when(dx.isNull(), stay).otherwise(F.struct((x - dx).alias("x"), (F.abs(dx) < small).alias("done"))))
+        return F.when(state["done"], stay).otherwise(moved)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(start.alias("x"), F.lit(False).alias("done")), step, lambda s: finite(s["x"]))
 
 
 @verb("irr")
 def irr(ctx, flows, guess=None):
-    cf = _numbers(ctx, flows)
-    value = lambda r: _sum(F.transform(cf, lambda x, i: x / F.pow(1 + r, i.cast("double"))))
-    slope = lambda r: _sum(F.transform(cf, lambda x, i: -i * x / F.pow(1 + r, i.cast("double") + 1)))
-    return F.when(F.size(cf) > 1, newton(value, slope, F.lit(0.1) if guess is None else num(ctx, guess)))
+    start = F.lit(0.1) if guess is None else num(ctx, guess)
+
+    def solve(cf: Column) -> Column:
+        value = lambda r: _sum(F.transform(cf, lambda x, i: x / F.pow(1 + r, i.cast("double"))))
+        slope = lambda r: _sum(F.transform(cf, lambda x, i: -i * x / F.pow(1 + r, i.cast("double") + 1)))
+        return F.when(F.size(cf) > 1, newton(value, slope, start))
+
+    return let(_numbers(ctx, flows), solve)
 
 
 def _dated(ctx, amounts, dates) -> Column:
@@ -85,10 +90,14 @@ def xnpv(ctx, rate, amounts, dates):
 
 @verb("xirr")
 def xirr(ctx, amounts, dates, guess=None):
-    flows = _dated(ctx, amounts, dates)
-    value = lambda r: _sum(F.transform(flows, lambda p: p["x"] / F.pow(1 + r, p["t"])))
-    slope = lambda r: _sum(F.transform(flows, lambda p: -p["t"] * p["x"] / F.pow(1 + r, p["t"] + 1)))
-    return newton(value, slope, F.lit(0.1) if guess is None else num(ctx, guess))
+    start = F.lit(0.1) if guess is None else num(ctx, guess)
+
+    def solve(flows: Column) -> Column:
+        value = lambda r: _sum(F.transform(flows, lambda p: p["x"] / F.pow(1 + r, p["t"])))
+        slope = lambda r: _sum(F.transform(flows, lambda p: -p["t"] * p["x"] / F.pow(1 + r, p["t"] + 1)))
+        return newton(value, slope, start)
+
+    return let(_dated(ctx, amounts, dates), solve)
 
 
 @verb("rate")
@@ -100,9 +109,9 @@ def rate(ctx, n, payment, present, future=None):
 
     def step(state, _):
         x = state["x"]
-        dx = F.try_divide(value(x), slope(x))
-        moved = F.greatest(F.lit(-0.99), F.least(F.lit(10.0), x - dx))
-        return F.when(state["done"] | dx.isNull(), F.struct(x.alias("x"), F.lit(True).alias("done"))).otherwise(F.struct(moved.alias("x"), (F.abs(dx) < 1e-6).alias("done")))
+        stay = F.struct(x.alias("x"), F.lit(True).alias("done"))
+        moved = lambda dx: F.struct(F.greatest(F.lit(-0.99), F.least(F.lit(10.0), x - dx)).alias("x"), (F.abs(dx) < 1e-6).alias("done"))
+        return F.when(state["done"], stay).otherwise(let(F.try_divide(value(x), slope(x)), lambda dx: F.when(dx.isNull(), stay).otherwise(moved(dx))))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.struct(F.lit(0.1).alias("x"), F.lit(False).alias("done")), step, lambda s: finite(s["x"]))
 

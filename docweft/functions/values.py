@@ -192,29 +192,83 @@ def loose_equal(ctx: Context, a: Column, b: Column) -> Column:
 OPERATORS = {"=": "eq", "==": "eq", "eq": "eq", "!=": "ne", "<>": "ne", "ne": "ne", "<": "lt", "lt": "lt", "<=": "lte", "lte": "lte", ">": "gt", "gt": "gt", ">=": "gte", "gte": "gte", "contains": "contains"}
 
 
+def _parsed(c: Column, whole: bool) -> Column:
+    """A text that is a number throughout, as a double; whole: of digits only."""
+    return F.when(F.rlike(c, F.lit(r"^[+-]?\d+$" if whole else r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), c.try_cast("double"))
+
+
+def _plain(c: Column, t: T.DataType) -> Column:
+    """A scalar as the coercing comparator reads it: null as nothing."""
+    if isinstance(t, T.NullType):
+        return F.lit("")
+    out = number_format(c.cast("double")) if is_numeric(t) and not isinstance(t, T.IntegralType) else c.cast("string")
+    return F.coalesce(out, F.lit(""))
+
+
+def lenient(c: Column, t: T.DataType) -> Column:
+    """The number that a value starts with or is; 0 if there is none."""
+    if isinstance(t, T.StringType):
+        return F.coalesce(number_text(c), F.lit(0.0))
+    return F.coalesce(c.cast("double"), F.lit(0.0)) if is_numeric(t) or isinstance(t, T.BooleanType) else F.lit(0.0)
+
+
+def typed(kind: str, a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
+    """The comparator that heeds types.
+
+    Equality: numbers by value, a text with a number if all of it is that number,
+    else equal types and values; null equals null only. Order: numbers with
+    numbers, texts with texts, nothing else. contains: texts only.
+    """
+    na, nb, sa, sb = is_numeric(ta), is_numeric(tb), isinstance(ta, T.StringType), isinstance(tb, T.StringType)
+    both = a.isNotNull() & b.isNotNull()
+    if kind in ("eq", "ne"):
+        if na and nb:
+            same = a.cast("double") == b.cast("double")
+        elif sa and nb:
+            same = _parsed(a, isinstance(tb, T.IntegralType)) == b.cast("double")
+        elif na and sb:
+            same = a.cast("double") == _parsed(b, isinstance(ta, T.IntegralType))
+        elif type(ta) is type(tb) and not isinstance(ta, T.NullType):
+            same = a == b
+        else:
+            same = F.lit(False)
+        equal = (a.isNull() & b.isNull()) | (both & F.coalesce(same, F.lit(False)))
+        return equal if kind == "eq" else ~equal
+    if kind == "contains":
+        return both & F.contains(a, b) if sa and sb else F.lit(False)
+    if kind in ORDER and (na and nb or sa and sb):
+        x, y = (a.cast("double"), b.cast("double")) if na else (a, b)
+        return F.coalesce(ORDER[kind](x, y), F.lit(False))
+    return F.lit(False)
+
+
+def coerced(kind: str, a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
+    """The comparator that coerces: equality and text tests on text forms (null: empty), order on leading numbers (none: 0)."""
+    if kind in ORDER:
+        return ORDER[kind](lenient(a, ta), lenient(b, tb))
+    x, y = _plain(a, ta), _plain(b, tb)
+    tests = {"eq": lambda: x == y, "ne": lambda: x != y, "contains": lambda: F.contains(x, y), "startsWith": lambda: F.startswith(x, y), "endsWith": lambda: F.endswith(x, y)}
+    return tests[kind]() if kind in tests else F.lit(False)
+
+
+ORDER = {"lt": lambda x, y: x < y, "lte": lambda x, y: x <= y, "gt": lambda x, y: x > y, "gte": lambda x, y: x >= y}
+
+
+def literal_type(value) -> T.DataType:
+    kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
+    return kinds.get(type(value), T.NullType())
+
+
 def predicate(ctx: Context, op: Column, coercing: bool = False) -> Callable[[Column, T.DataType, Column], Column]:
-    """Comparison by a literal operator's name; coercing ones know startsWith and endsWith too. Nulls never match."""
+    """Comparison by a literal operator's name, with types heeded or coerced; an unknown operator matches nothing."""
     name = ctx.value(op)
     kind = OPERATORS.get(name, name if coercing and name in ("startsWith", "endsWith") else None)
 
     def compare(left: Column, left_type: T.DataType, right: Column) -> Column:
-        value = ctx.value(right)
+        right_type = literal_type(ctx.value(right)) if ctx.constant(right) else ctx.type(right)
         if kind is None:
             return F.lit(False)
-        if kind in ("contains", "startsWith", "endsWith"):
-            how = {"contains": F.contains, "startsWith": F.startswith, "endsWith": F.endswith}[kind]
-            return F.coalesce(how(left.cast("string"), F.lit(str(value)) if value is not None else right.cast("string")), F.lit(False))
-        numeric = isinstance(value, (int, float)) and not isinstance(value, bool) if ctx.constant(right) else is_numeric(ctx.type(right))
-        if is_numeric(left_type) and numeric:
-            a, b = left.cast("double"), right.cast("double")
-        elif isinstance(left_type, T.StringType) and numeric:
-            a, b = left.try_cast("double"), right.cast("double")
-        elif is_numeric(left_type):
-            a, b = left.cast("double"), right.try_cast("double")
-        else:
-            a, b = left, right
-        out = {"eq": lambda: a == b, "ne": lambda: a != b, "lt": lambda: a < b, "lte": lambda: a <= b, "gt": lambda: a > b, "gte": lambda: a >= b}[kind]()
-        return F.coalesce(out, F.lit(False))
+        return (coerced if coercing else typed)(kind, left, left_type, right, right_type)
 
     return compare
 

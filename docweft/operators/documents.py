@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from docweft.functions.values import number_format
 
+from .stages import stage
+
 #: Hops after which a chain of references counts as a circle.
 MAX_HOPS = 100
 
@@ -87,25 +89,25 @@ def canonical_hash(table: DataFrame) -> DataFrame:
 
 
 def resolve_references(table: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
-    """doc_id, path and the value that a reference leads to; errors V012 (nothing there) and V013 (circle).
+    """doc_id, path and the value that a reference leads to; errors V012 (nothing there) and V013 (circle, or a chain beyond `hops`).
 
-    One self-join per hop, until no reference is left or `hops` is reached.
+    Pointer doubling: each round, a reference goes on to where the place that it
+    has reached leads, so `hops` steps take log2(hops) rounds of one join each.
+    A round is a table in the shared folder, so that plans do not grow.
     """
     flat = table.select("doc_id", "path", "type", "value")
-    open_rows = flat.select("doc_id", "path", "type", "value", F.array("path").alias("seen"))
-    done = open_rows.filter("type <> 'reference'").select("doc_id", "path", "value", F.lit(None).cast("string").alias("error"))
-    open_rows = open_rows.filter("type = 'reference'")
-    targets = flat.select("doc_id", F.col("path").alias("target"), F.col("type").alias("t2"), F.col("value").alias("v2"))
-    results = [done]
-    for _ in range(hops):
-        step = open_rows.withColumn("target", F.regexp_replace("value", r"^@?\.?", "")).join(targets, ["doc_id", "target"], "left")
-        circle = F.array_contains("seen", F.col("target"))
-        ended = F.when(circle, "V013").when(F.col("t2").isNull(), "V012")
-        results.append(step.filter(ended.isNotNull() | (F.col("t2") != "reference")).select("doc_id", "path", F.when(ended.isNull(), F.col("v2")).alias("value"), ended.alias("error")))
-        open_rows = step.filter(ended.isNull() & (F.col("t2") == "reference")).select("doc_id", "path", F.col("t2").alias("type"), F.col("v2").alias("value"), F.array_append("seen", F.col("target")).alias("seen"))
+    done = flat.filter("type <> 'reference'").select("doc_id", "path", "value", F.lit(None).cast("string").alias("error"))
+    ends = flat.select("doc_id", F.col("path").alias("at"), (F.col("type") != "reference").alias("end"), "value")
+    start = flat.filter("type = 'reference'").select("doc_id", "path", F.regexp_replace("value", r"^@?\.?", "").alias("at"))
+    there = start.join(ends, ["doc_id", "at"], "left")
+    # at: the place reached; end: a value stands there; neither: another reference; null end: nothing is there
+    state = stage(there.select("doc_id", "path", "at", "end", F.when(F.col("end"), F.col("value")).alias("value")), "references")
+    for _ in range(max(1, hops - 1).bit_length()):
+        onward = state.select("doc_id", F.col("path").alias("at"), F.col("at").alias("at2"), F.col("end").alias("end2"), F.col("value").alias("value2"))
+        open_rows = state.filter("end = false")
         if open_rows.isEmpty():
             break
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+        moved = open_rows.drop("value").join(onward, ["doc_id", "at"]).select("doc_id", "path", F.col("at2").alias("at"), F.col("end2").alias("end"), F.col("value2").alias("value"))
+        state = stage(state.filter("end IS NULL OR end").unionByName(moved), "references")
+    error = F.when(F.col("end").isNull(), "V012").when(~F.col("end"), "V013")
+    return done.unionByName(state.select("doc_id", "path", "value", error.alias("error")))

@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft.functions.values import OPERATORS, coerced, literal_type, typed
+
 #: Bytes up to which a lookup table is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 
 
-def predicate(field: str, op: str, value) -> Column:
-    """field op value, nulls not matching; contains, startsWith and endsWith on texts."""
-    c = F.col(field)
-    tests = {
-        "=": lambda: c == value, "==": lambda: c == value, "eq": lambda: c == value, "!=": lambda: c != value, "<>": lambda: c != value, "ne": lambda: c != value,
-        "<": lambda: c < value, "lt": lambda: c < value, "<=": lambda: c <= value, "lte": lambda: c <= value, ">": lambda: c > value, "gt": lambda: c > value, ">=": lambda: c >= value, "gte": lambda: c >= value,
-        "contains": lambda: F.contains(c.cast("string"), F.lit(value)), "startsWith": lambda: F.startswith(c.cast("string"), F.lit(value)), "endsWith": lambda: F.endswith(c.cast("string"), F.lit(value)),
-    }
-    return F.coalesce(tests[op](), F.lit(False)) if op in tests else F.lit(False)
+def predicate(df: DataFrame, field: str, op: str, value, coercing: bool = False) -> Column:
+    """field op value, by the comparators of the array verbs."""
+    kind = OPERATORS.get(op, op if coercing and op in ("startsWith", "endsWith") else None)
+    return (coerced if coercing else typed)(kind, F.col(field), df.schema[field].dataType, F.lit(value), literal_type(value)) if kind else F.lit(False)
 
 
 def filter_rows(df: DataFrame, field: str, op: str, value) -> DataFrame:
-    return df.filter(predicate(field, op, value))
+    return df.filter(predicate(df, field, op, value))
 
 
 def partition_rows(df: DataFrame, field: str, op: str, value) -> tuple[DataFrame, DataFrame]:
-    return df.filter(predicate(field, op, value)), df.filter(~predicate(field, op, value))
+    test = predicate(df, field, op, value, coercing=True)
+    return df.filter(test), df.filter(~test)
 
 
 def dedupe(df: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
@@ -57,7 +55,26 @@ def top(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 
 
 def drop_first(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    return df.orderBy(*order).offset(n)
+    """All rows but the first n in order. Only those n meet in one task; the rest are compared with the last of them.
+
+    Rows that are equal in the whole order can stand for each other.
+    """
+    if n <= 0:
+        return df
+    parts = [o if isinstance(o, Column) else F.col(o) for o in order]
+    first = df.orderBy(*parts).limit(n)
+    counted = first.groupBy(*df.columns).agg(F.count("*").alias("__n")).withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(df.columns)})
+    rows = df.withColumn("__k", F.xxhash64(*df.columns))
+    counted = F.broadcast(counted.withColumn("__h", F.xxhash64(*(f"__c{i}" for i in range(len(df.columns))))))  # at most n rows
+    same = F.col("__k") == F.col("__h")
+    for i, c in enumerate(df.columns):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"__c{i}"))
+    joined = rows.join(counted, same, "left")
+    free = joined.filter("__n IS NULL").select(*df.columns)
+    # equal rows: as many stay as are beyond the first n
+    whole = joined.filter("__n IS NOT NULL").groupBy(*df.columns).agg((F.count("*") - F.max("__n")).alias("__left")).filter("__left > 0")
+    again = whole.withColumn("__x", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__left")))).select(*df.columns)
+    return free.unionByName(again)
 
 
 def explode_field(df: DataFrame, field: str) -> DataFrame:

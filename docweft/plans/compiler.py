@@ -93,6 +93,7 @@ class Compiler:
         self.errors: list[Column] = []
         self.loop_values: Callable | None = None
         self.loops: dict[tuple, LoopContext] = {}
+        self.placed = False  # pos and len place a field in the output instead of cutting the input
 
     def context(self) -> Context:
         return Context(self.frame, self.spec.tables)
@@ -211,7 +212,7 @@ class Compiler:
         other.item = lambda p: other.walk(y, p) if not isinstance(inner.ctx, LoopContext) or inner.ctx.replay else inner.item(p)
         return self.expression(other, value)
 
-    def run(self) -> DataFrame:
+    def run(self, keep: list[Column] | None = None) -> DataFrame:
         """All segments as columns, and `errors`; a numbered pass sees the outputs of those before it."""
         names: list[str] = []
         for number in self.spec.passes:
@@ -233,7 +234,7 @@ class Compiler:
                 self.outputs[name] = column
                 names.append(name)
         failed = F.filter(F.array(*self.errors), lambda e: e.isNotNull()) if self.errors else F.array().cast(f"array<{ERROR}>")
-        return self.frame.select(*(self.outputs[n].alias(n) for n in dict.fromkeys(names)), failed.alias("errors"))
+        return self.frame.select(*(keep or []), *(self.outputs[n].alias(n) for n in dict.fromkeys(names)), failed.alias("errors"))
 
 
 def _placeholders(line: str) -> list[str]:
@@ -279,6 +280,8 @@ def directed(compiler: Compiler, scope: Scope, c: Column, m: Mapping) -> Column
             c = cast(ctx, c, name)
         elif name == "default":
             c = F.coalesce(*common(ctx, c, ctx.lit(argument)))
+        elif compiler.placed and name in ("pos", "len", "leftPad", "rightPad"):
+            continue
         elif name == "pos":
             start, count = int(argument), int(given["len"]) if "len" in given else 1 << 20
             c = F.substring(fmt(ctx, c), start + 1, count)

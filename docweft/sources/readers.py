@@ -25,9 +25,9 @@ def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = Tr
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", schema=None) -> DataFrame:
-    """RFC 4180 files. Cells stay texts without a schema: typed per cell by `infer_cell`, never by an extra pass."""
-    reader = spark.read.options(header=header, sep=delimiter, quote='"', escape='"', multiLine=False)
+def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", schema=None, multi_line: bool = True) -> DataFrame:
+    """RFC 4180 files, quoted line breaks included; multi_line=False if no cell has one, which lets Spark split files. Cells stay texts without a schema: typed per cell by `infer_cell`, never by an extra pass."""
+    reader = spark.read.options(header=header, sep=delimiter, quote='"', escape='"', multiLine=multi_line)
     out = (reader.schema(schema) if schema is not None else reader).csv(path)
     return out if schema is not None else out.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in out.columns))
 

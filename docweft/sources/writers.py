@@ -25,15 +25,25 @@ def json_text(df: DataFrame, pretty: bool = False, nulls: str = "keep") -> Colum
     return F.to_json(F.struct(*df.columns), {"pretty": str(pretty).lower(), "ignoreNullFields": str(nulls == "omit").lower()})
 
 
-def csv_text(df: DataFrame, delimiter: str = ",") -> Column:
-    """Each row as a CSV line; cells with a delimiter, quote or line end are quoted."""
+def cell(c: Column, t: T.DataType) -> Column:
+    """A scalar's text; nested values as JSON."""
+    return F.to_json(c) if isinstance(t, (T.ArrayType, T.StructType, T.MapType)) else _text(c, t)
+
+
+def csv_cells(values: list[Column], delimiter: str = ",") -> Column:
+    """Texts as a CSV line; cells with a delimiter, quote or line end are quoted, nulls are empty."""
     cells = []
-    for f in df.schema.fields:
-        s = F.coalesce(_text(F.col(f"`{f.name}`"), f.dataType), F.lit(""))
+    for c in values:
+        s = F.coalesce(c, F.lit(""))
         cells.append(F.when(F.rlike(s, F.lit(f'[{delimiter}"\\r\\n]')), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s))
     return F.concat_ws(delimiter, *cells)
 
 
+def csv_text(df: DataFrame, delimiter: str = ",") -> Column:
+    """Each row as a CSV line."""
+    return csv_cells([_text(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], delimiter)
+
+
 def _escape(s: Column) -> Column:
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         s = F.replace(s, F.lit(sign), F.lit(entity))

@@ -6,11 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from docweft.catalogue import formats, more, tables, verbs
+from docweft.catalogue import files, formats, more, tables, verbs
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**tables.QUERIES, **verbs.QUERIES, **formats.QUERIES, **more.QUERIES}
-SQL = {**tables.SQL, **verbs.SQL, **formats.SQL, **more.SQL}
+QUERIES = {**tables.QUERIES, **verbs.QUERIES, **formats.QUERIES, **more.QUERIES, **files.QUERIES}
+SQL = {**tables.SQL, **verbs.SQL, **formats.SQL, **more.SQL, **files.SQL}
 
 
 def tidy(v):

@@ -104,3 +104,28 @@ def test_streams(spark, tmp_path):
     assert spark.table("shout").first()["O"]["t"] == "{SEC}"
     rates = spark.readStream.format("rate").load().withColumn("k", F.lit("a"))
     assert totals(rates, "timestamp", "k", "value").isStreaming
+
+
+def test_transform_imports():
+    from docweft.functions.values import TransformError
+    from docweft.plans.render import with_imports
+
+    files = {"lib": '{$const}\nvat = #0.2\nown = ##1\n{Extra}\nx = ##1\n', "loop": '@import "loop"\n'}
+    spec = with_imports('@import "lib"\n{$const}\nown = ##2\n{Main}\ny = ##3\n', files.__getitem__)
+    assert spec.constants == {"vat": 0.2, "own": 2} and [s.name for s in spec.segments] == ["Extra", "Main"]
+    assert with_imports('@import "lib" as l\n{Main}\ny = ##3\n', files.__getitem__).constants["l.vat"] == 0.2
+    with pytest.raises(TransformError):
+        with_imports('@import "loop"\n', files.__getitem__)
+
+
+def test_long_chains_of_references(spark):
+    rows = [("d", k, f"p{k}", "reference", f"@p{k + 1}") for k in range(60)] + [("d", 60, "p60", "string", "end")]
+    t = spark.createDataFrame(rows, "doc_id string, pos int, path string, type string, value string")
+    assert {(r["value"], r["error"]) for r in docs.resolve_references(t).collect()} == {("end", None)}
+
+
+def test_drop_first_with_equal_rows(spark):
+    from docweft.operators import relational
+
+    df = spark.createDataFrame([(1,), (1,), (1,), (2,), (None,), (None,)], "k int")
+    assert sorted(str(r["k"]) for r in relational.drop_first(df, 4, [F.asc("k")]).collect()) == ["1", "2"]
