@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweft.llm import decontaminate, jaccard, language, licences, line_dedup, neighbours, pieces, queries, secrets, shards, suffix_dedup
+from docweft.llm import _graph, decontaminate, jaccard, language, licences, line_dedup, neighbours, pieces, queries, secrets, shards, suffix_dedup
 from docweft.llm._common import save
 from docweft.llm._graph import components
 
@@ -54,10 +54,14 @@ def variants(seed=0):
     return docs
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hubs", [1, 3, 10_000])
+def test_components(spark, hubs, monkeypatch):
+    monkeypatch.setattr(_graph, "HUBS", hubs)
     edges = [(1, 2), (2, 3), (10, 11), (5, 4), (4, 3), (20, 21), (21, 22), (22, 20), (7, 7), (None, 1)]
+    edges += [(100 + i, 99) for i in range(40)] + [(100 + i, 300 + i) for i in range(0, 40, 7)] + [(300, 98)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 10: 10, 11: 10, 20: 20, 21: 20, 22: 20}
+    star = {98, 99, *range(100, 140), *range(300, 340, 7)}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 10: 10, 11: 10, 20: 20, 21: 20, 22: 20} | dict.fromkeys(star, 98)
 
 
 # sharding
