@@ -3,9 +3,11 @@
 Documents with equal shingle sets are one node with a count, so copies are never
 paired. Nodes that share a band hash are linked to the bucket's smallest node (a
 star, not all pairs); the stars' components hold all candidate pairs. Inside a
-component every pair is verified on the full shingle sets, in blocks of bounded
-size: documents are dealt to k blocks, and each pair of blocks is a task's work.
-Verified links are counted and joined up to classes.
+component pairs are verified on the full shingle sets, in blocks of bounded size:
+documents are dealt to blocks, and each pair of blocks is a task's work. A
+component of several blocks is dealt by the sets' sizes, in levels so wide that a
+pair at the threshold lies in one level or in two neighbouring ones; blocks of
+other levels never meet. Verified links are counted and joined up to classes.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import BASE, MIX, finish, list_array, parallelism, save, shingle_hashes, ship, slices, words_of
@@ -131,22 +133,48 @@ def overlaps(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
     return out
 
 
+#: What names a pair of blocks: the component, and level and number of either block.
+KEYS = ["comp", "la", "bi", "lb", "bj"]
+
+
+def _levels(members: DataFrame, block: int) -> DataFrame:
+    """comp, lv, cut and pairs (of blocks of this level: k; of the levels below and above: k_low, k_high)."""
+    inside = Window.partitionBy("comp").orderBy("lv")  # levels of a component: few, as they grow with the logarithm of a set's size
+    counts = members.groupBy("comp", "lv").agg(F.count("*").alias("c")).withColumn("k", F.ceil(F.col("c") / block))
+    counts = counts.withColumn("cut", F.sum("c").over(Window.partitionBy("comp")) > block)
+    near = lambda step, to: F.when((step("lv").over(inside) == F.col("lv") + to) & F.col("cut"), step("k").over(inside)).otherwise(0)
+    return counts.select("comp", "lv", "cut", F.when(F.col("cut"), F.col("k")).otherwise(1).alias("k"), near(F.lag, -1).alias("k_low"), near(F.lead, 1).alias("k_high"))
+
+
+def _meetings(members: DataFrame, block: int) -> DataFrame:
+    """Members with the pairs of blocks in which each one takes part, as `meets`."""
+    dealt = members.join(_levels(members, block), ["comp", "lv"]).withColumn("lv", F.when(F.col("cut"), F.col("lv")).otherwise(0)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")))
+    each = lambda k, meet: F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col(k)), lambda o: o < F.col(k)), meet)
+    at = lambda la, bi, lb, bj, side: F.struct(la.alias("la"), bi.alias("bi"), lb.alias("lb"), bj.alias("bj"), side.cast("int").alias("side"))
+    lv, own = F.col("lv"), F.col("block")
+    one = F.lit(1).cast("long")
+    among = each("k", lambda o: at(lv, F.least(own, o), lv, F.greatest(own, o), own > o))
+    below = each("k_low", lambda o: at(lv - one, o, lv, own, F.lit(1)))
+    above = each("k_high", lambda o: at(lv, own, lv + one, o, F.lit(0)))
+    return dealt.withColumn("meets", F.concat(among, below, above)).drop("lv", "cut", "k", "k_low", "k_high", "block")
+
+
 def _verify(threshold: float):
     def run(batches):
-        for group in _groups(batches, ["comp", "bi", "bj"]):
+        for group in _groups(batches, KEYS):
             reps, at = np.unique(group.column("rep").to_numpy(), return_index=True)
-            block = group.column("block").to_numpy()[at]
+            side = group.column("side").to_numpy()[at]
             copies = group.column("copies").to_numpy()[at]
             column = group.column("sh").combine_chunks()
             sets = [column[int(i)].values.to_numpy().view(np.uint64) for i in at]
             n = np.array([len(s) for s in sets])
-            bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
+            same = all(group.column(a)[0] == group.column(b)[0] for a, b in (("la", "lb"), ("bi", "bj")))
             if len(reps) > 1:
                 both = overlaps(sets)
                 link = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
                 np.fill_diagonal(link, False)
-                if bi != bj:
-                    link &= block[:, None] != block[None, :]
+                if not same:
+                    link &= side[:, None] != side[None, :]
             else:
                 link = np.zeros((1, 1), bool)
             root = np.arange(len(reps))
@@ -180,31 +208,31 @@ def join_classes(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float =
     bands, rows_per_band = banding(threshold, recall)
     spark = docs.sparkSession
     narrow = save(signatures(docs, size, bands, rows_per_band).withColumn("rid", F.monotonically_increasing_id()), "signatures")
-    nodes = narrow.filter("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies"))
+    nodes = narrow.filter("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.min("n").alias("n"))
     nodes = save(nodes, "nodes")
-    heads = nodes.select("rep", "copies").join(narrow.select(F.col("rid").alias("rep"), "doc_id", "tk", "keys"), "rep")
+    heads = nodes.select("rep", "copies", "n").join(narrow.select(F.col("rid").alias("rep"), "doc_id", "tk", "keys"), "rep")
 
     buckets = heads.select("rep", F.explode("keys").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).filter("c > 1").select("key", "hub")
     stars = buckets.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
     members = components(stars).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-    members = save(members, "members")
-    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / block).alias("k"))
-    dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")))
-    wanted = dealt.join(heads.select("rep", "copies", "doc_id", "tk"), "rep").withColumnRenamed("doc_id", "wanted_id")
+    members = members.join(heads.select("rep", "copies", "n", F.col("doc_id").alias("wanted_id"), "tk"), "rep")
+    # a little wider than the threshold asks for, so that no rounding parts a pair by two levels
+    members = save(members.withColumn("lv", F.floor(F.log("n") / (-math.log(threshold) + 1e-6))).drop("n"), "members")
+    wanted = _meetings(members, block)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
-    found = texts.join(wanted, (texts["tk"] == wanted["tk"]) & texts["doc_id"].eqNullSafe(wanted["wanted_id"])).select("rep", "copies", "comp", "k", "block", "text")
+    found = texts.join(wanted, (texts["tk"] == wanted["tk"]) & texts["doc_id"].eqNullSafe(wanted["wanted_id"])).select("rep", "copies", "comp", "meets", "text")
 
     def sets(batches):
         for rows, data, offsets in slices(batches):
             parts = shingle_sets(data, offsets, size)
             flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            keep = ["rep", "copies", "comp", "k", "block"]
+            keep = ["rep", "copies", "comp", "meets"]
             yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in keep), list_array(pa.array(flat.view(np.int64)), np.array([len(p) for p in parts]))], names=[*keep, "sh"])
 
-    shingled = found.mapInArrow(sets, "rep bigint, copies bigint, comp bigint, k bigint, block bigint, sh array<bigint>")
-    paired = shingled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other", "k")
-    paired = paired.repartition(parallelism(spark), "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
+    shingled = found.mapInArrow(sets, "rep bigint, copies bigint, comp bigint, meets array<struct<la:bigint,bi:bigint,lb:bigint,bj:bigint,side:int>>, sh array<bigint>")
+    paired = shingled.select("rep", "copies", "comp", "sh", F.explode("meets").alias("meet")).select("rep", "copies", "comp", "meet.*", "sh")
+    paired = paired.repartition(parallelism(spark), *KEYS).sortWithinPartitions(*KEYS)
     links = save(paired.mapInArrow(_verify(threshold), "u bigint, v bigint, texts bigint, rows bigint"), "links")
 
     counts = links.groupBy(F.col("u").alias("rep")).agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))

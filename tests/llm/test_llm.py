@@ -433,7 +433,11 @@ def brute_classes(docs, size=5, threshold=0.8):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("docs,block", [(variants(6), 192), (variants(7), 3), (AWKWARD, 192), ([], 192), ([(i, " ".join(f"w{j}" for j in range(60)) + f" tail{i}") for i in range(30)], 7)])
+#: A chain of ever longer texts, with links between sizes that lie across levels.
+PREFIXES = [(i, " ".join(f"w{j}" for j in range(round(6 * 1.06**i)))) for i in range(60)]
+
+
+@pytest.mark.parametrize("docs,block", [(variants(6), 192), (variants(7), 3), (AWKWARD, 192), ([], 192), ([(i, " ".join(f"w{j}" for j in range(60)) + f" tail{i}") for i in range(30)], 7), (PREFIXES, 192), (PREFIXES, 6), (PREFIXES, 1)])
 def test_classes_match_brute_force(spark, docs, block):
     got = jaccard.join_classes(frame(spark, docs), block=block).collect()
     assert sorted(str((r["doc_id"], r["class_id"], r["n_links"])) for r in got) == brute_classes(docs)
