@@ -216,10 +216,11 @@ def join_classes(docs: DataFrame, size: int = SHINGLE_WORDS, threshold: float =
     hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).filter("c > 1").select("key", "hub")
     stars = buckets.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
     members = components(stars).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-    members = members.join(heads.select("rep", "copies", "n", F.col("doc_id").alias("wanted_id"), "tk"), "rep")
+    # both sides of these joins grow with the documents: no plan for small ones, in which a side is broadcast
+    members = members.join(heads.select("rep", "copies", "n", F.col("doc_id").alias("wanted_id"), "tk").hint("merge"), "rep")
     # a little wider than the threshold asks for, so that no rounding parts a pair by two levels
     members = save(members.withColumn("lv", F.floor(F.log("n") / (-math.log(threshold) + 1e-6))).drop("n"), "members")
-    wanted = _meetings(members, block)
+    wanted = _meetings(members, block).hint("merge")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
     found = texts.join(wanted, (texts["tk"] == wanted["tk"]) & texts["doc_id"].eqNullSafe(wanted["wanted_id"])).select("rep", "copies", "comp", "meets", "text")
 
