@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ._common import save
 
 SLOTS = 4096
+#: Rows of a slot that are numbered in one task, about: larger slots are numbered in parts.
+PART_ROWS = 1_000_000
 
 
 def listed(spark: SparkSession, **columns: tuple[str, tuple[int, ...] | list[int]]) -> DataFrame:
@@ -116,16 +118,32 @@ def slot_map(records: DataFrame, shards: int, slots: int = SLOTS) -> SlotMap:
     return SlotMap(0, tuple(k % shards for k in range(slots)), tuple(totals.get(k, (0, 0))[0] for k in range(slots)), tuple(totals.get(k, (0, 0))[1] for k in range(slots)))
 
 
-def shard(docs: DataFrame, shards: int, slots: int = SLOTS, store: str | None = None) -> DataFrame:
+def numbered(records: DataFrame, start: SlotMap, part_rows: int = PART_ROWS) -> DataFrame:
+    """Records with `inside`, their place in their slot, gapless from 0.
+
+    A slot of more than `part_rows` rows is cut into parts by rid, the row's saved
+    number, so exact repeats of a row do not meet in one task either. The parts'
+    counts are a table of slots + rows / part_rows rows; they are put one after another.
+    """
+    parts = listed(records.sparkSession, parts=("bigint", [max(1, -(-n // part_rows)) for n in start.n_rows]))
+    cut = records.join(F.broadcast(parts), "vslot").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts"))).drop("parts", "rid")
+    upto = Window.partitionBy("vslot").orderBy("part")  # parts of one slot
+    offsets = cut.groupBy("vslot", "part").agg(F.count("*").alias("n")).select("vslot", "part", (F.sum("n").over(upto) - F.col("n")).alias("before"))
+    own = cut.withColumn("own", F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size")) - 1)
+    return own.join(offsets, ["vslot", "part"]).withColumn("inside", F.col("before") + F.col("own")).drop("part", "own", "before")
+
+
+def shard(docs: DataFrame, shards: int, slots: int = SLOTS, store: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per document row: doc_id, size, text_crc32, vslot, shard and slot (place in the shard, gapless from 0).
 
     Shards have near equal bytes, as near as the largest slot and row allow. Rows
-    in a slot stand in order of doc_id (nulls first), checksum and size. With
-    `store`, versions 0 and 1 of the map are appended to that table. An empty
-    table gives an empty result. Other columns are not read.
+    in a slot of `part_rows` rows or fewer stand in order of doc_id (nulls first),
+    checksum and size; larger slots are ordered so in parts. With `store`, versions
+    0 and 1 of the map are appended to that table. An empty table gives an empty
+    result. Other columns are not read.
     """
     spark = docs.sparkSession
-    records = save(slot_records(docs, slots), "records")
+    records = save(slot_records(docs, slots).withColumn("rid", F.monotonically_increasing_id()), "records")
     start = slot_map(records, shards, slots)
     final = start.rebalanced(shards)
     if store:
@@ -136,6 +154,5 @@ def shard(docs: DataFrame, shards: int, slots: int = SLOTS, store: str | None =
         first.append(before[owner])
         before[owner] += n
     places = listed(spark, shard=("int", final.shard_of), first=("bigint", first))
-    inside = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
-    placed = records.withColumn("inside", inside).join(F.broadcast(places), "vslot")  # `slots` rows of 16 bytes
+    placed = numbered(records, start, part_rows).join(F.broadcast(places), "vslot")  # `slots` rows of 16 bytes
     return placed.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("inside")).alias("slot"))

@@ -5,6 +5,7 @@ import json
 import random
 import re
 import textwrap
+import zlib
 
 import duckdb
 import numpy as np
@@ -93,6 +94,26 @@ def test_one_row_larger_than_all_others(spark):
     assert len(got) == 49
 
 
+def test_slots_are_numbered_in_parts(spark):
+    rows = [(None, "copy")] * 300 + [(7, "copy")] * 200 + [(i, f"text {i}") for i in range(300)]
+    docs = frame(spark, rows).repartition(5)
+    got = shards.shard(docs, 3, slots=16, part_rows=20).collect()
+    assert sorted((r["doc_id"] or 0, r["text_crc32"]) for r in got) == sorted((i or 0, zlib.crc32(t.encode())) for i, t in rows)
+    for s in range(3):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    records = shards.slot_records(docs, 16).withColumn("rid", F.monotonically_increasing_id())
+    start = shards.slot_map(records, 3, 16)
+    assert max(start.n_rows) > 200
+    places = shards.numbered(save(records, "records"), start, 20).collect()
+    for k, n in enumerate(start.n_rows):
+        assert sorted(r["inside"] for r in places if r["vslot"] == k) == list(range(n))
+
+
+def test_sizes_and_checksums_of_given_rows(spark):
+    got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in shards.shard(frame(spark, AWKWARD[:8]), 3, slots=16).collect()}
+    assert got == {i: (len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())) for i, t in AWKWARD[:8]}
+
+
 # suffix dedup
 
 
