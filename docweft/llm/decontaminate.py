@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,39 +61,43 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW_WORDS, size: int = S
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(cut, "item_id string, width int, shingles array<string>")
 
 
-def _mark(docs: DataFrame, shingles: list[str], kept: list[str]) -> DataFrame:
+def _hashed(shingles: pa.Array, size: int) -> np.ndarray:
+    """Hash of each shingle of `size` words, a slice of bounded size at a time."""
+    parts = [shingle_hashes(h, owner, size)[0] for _, data, offsets in slices([pa.RecordBatch.from_arrays([shingles], ["text"])]) for _, _, h, owner in (words_of(data, offsets),)]
+    return np.concatenate(parts)
+
+
+def _mark(docs: DataFrame, shingles: pa.Array, kept: list[str]) -> DataFrame:
     """Add to `hits` the places where a document holds one of the shingles, and set n_words."""
-    sizes: dict[int, list[str]] = {}
-    for s in shingles:
-        sizes.setdefault(s.count(" ") + 1, []).append(s)
+    words = pc.add(pc.count_substring(shingles, " "), 1)
     known = {}
-    for k, group in sizes.items():
-        joined = np.frombuffer(" ".join(group).encode(), np.uint8)
-        _, _, h, rows = words_of(joined, np.array([0, len(joined)]))
-        grid = h.reshape(-1, k)
-        flat, owner = grid.reshape(-1), np.repeat(np.arange(len(grid)), k)
-        values = np.unique(shingle_hashes(flat, owner, k)[0])
+    for k in pc.unique(words).to_pylist():
+        group = shingles.filter(pc.equal(words, k))
+        values = _hashed(group, k)
+        order = np.argsort(values, kind="stable")
+        values = values[order]
         sieve = np.zeros(1 << 20, bool)
         sieve[(values & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        known[k] = (values, sieve)
-    held = docs.sparkSession.sparkContext.broadcast((known, frozenset(shingles)))
+        known[k] = (values, sieve, group.take(pa.array(order)))
+    held = docs.sparkSession.sparkContext.broadcast(known)
 
     def find(batches):
-        known, exact = held.value
+        known = held.value
         for rows, data, offsets in slices(batches):
             starts, ends, h, owner = words_of(data, offsets)
             first = np.searchsorted(owner, np.arange(rows.num_rows + 1))
             where, pos, texts = [], [], []
-            for k, (values, sieve) in known.items():
+            for k, (values, sieve, exact) in known.items():
                 sh, at = shingle_hashes(h, owner, k)
                 may = np.flatnonzero(sieve[(sh & np.uint64((1 << 20) - 1)).astype(np.int64)])
                 if not len(may):
                     continue
-                spot = np.searchsorted(values, sh[may])
-                spot[spot == len(values)] = 0
-                for i in at[may[values[spot] == sh[may]]]:
+                low, high = np.searchsorted(values, sh[may]), np.searchsorted(values, sh[may], side="right")
+                for i, a, b in zip(at[may], low.tolist(), high.tolist(), strict=True):
+                    if a == b:
+                        continue
                     text = _lowered(data, starts, ends, int(i), k)
-                    if text in exact:
+                    if any(exact[j].as_py() == text for j in range(a, b)):  # shingles with this hash
                         where.append(int(owner[i]))
                         pos.append(int(i - first[owner[i]]))
                         texts.append(text)
@@ -123,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     marked = docs.withColumn("hits", F.array().cast(HITS)) if blocks > 1 else docs
     for b in range(blocks):
         # a block is a bounded slice of the benchmark's own shingles, never of the documents
-        block = [r.sh for r in shingles.filter(F.pmod(F.xxhash64("sh"), F.lit(blocks)) == b).collect()]
+        block = shingles.filter(F.pmod(F.xxhash64("sh"), F.lit(blocks)) == b).toArrow().column("sh").combine_chunks()
         if blocks == 1:
             marked = _mark(marked, block, ["doc_id"]).withColumnRenamed("new_hits", "hits")
         else:
