@@ -20,7 +20,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def ship(name: str) -> None:
-    """Send a module's functions to the workers by value, so that executors need no copy of the repository."""
+    """Send a module's functions to the workers by value; objects that are broadcast still need the package there."""
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
