@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,9 +131,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, grams_kept: int = GRAMS
     languages = tuple(sizes)
     table = np.zeros((-(-len(languages) // MASK_BITS), 1 << bits), np.uint32)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("lift"), "code"))
-    best = lift.withColumn("place", place).filter(F.col("place") <= grams_kept).select("lang", "code").collect()  # at most MAX_LANGUAGES * grams_kept
+    best = lift.withColumn("place", place).filter(F.col("place") <= grams_kept).select("lang", "code").toArrow()  # at most MAX_LANGUAGES * grams_kept
     for k, lang in enumerate(languages):
-        for c in cells(np.array([r["code"] for r in best if r["lang"] == lang], np.uint32), probes, bits):
+        for c in cells(best.filter(pc.equal(best["lang"], lang))["code"].to_numpy().astype(np.uint32), probes, bits):
             table[k // MASK_BITS][c] |= np.uint32(1 << k % MASK_BITS)
     fill = np.array([((table[k // MASK_BITS] >> np.uint32(k % MASK_BITS)) & np.uint32(1)).mean() for k in range(len(languages))])
     return LanguageFilters(languages, table, fill**probes, probes, bits)
